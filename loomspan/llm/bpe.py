@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -153,7 +154,10 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # str.lower() knows a final sigma, letter-wise lowering does not
                 text = text.replace("Σ", "σ")
-        return self.words.findall(text.lower())
+        text = text.lower()
+        if not text.isascii() and _FAR.search(text) and (odd := unassigned()).search(text):
+            return [text[m.start() : m.end()] for m in self.words.finditer(odd.sub("\u0378", text))]
+        return self.words.findall(text)
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """The text cut at the strings of special tokens: (is one, string)."""
@@ -169,6 +173,24 @@ class WordBpe:
         return " ".join(map(self.texts.__getitem__, ids))
 
 
+#: Beyond the letters of Latin, Greek, Cyrillic and Armenian; below, all tables of Unicode agree.
+_FAR = re.compile("[^\0-\u0557]")
+
+# Letters and numbers that Unicode 16.0 added, which the tokenizers library knows and Python 3.13 doesn't.
+_UNICODE_16 = regex.compile(
+    "[\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d40-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4"
+    "\U00011380-\U000113d3\U000116d0-\U000116e3\U00011bc0-\U00011bf9\U00013460-\U000143fa\U00016100-\U0001611d\U00016130-\U00016139"
+    "\U00016d40-\U00016d79\U00018cff\U0001ccf0-\U0001ccf9\U0001e5d0-\U0001e5fa]"
+)
+
+
+@lru_cache(maxsize=1)
+def unassigned() -> regex.Pattern:
+    """Code points that newer tables of Unicode call letters or numbers, and the tokenizers library doesn't."""
+    letters = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))
+    return regex.compile("[" + "".join(c for c in letters if unicodedata.category(c) == "Cn" and not _UNICODE_16.match(c)) + "\U000F0000]")
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> WordBpe:
     return WordBpe(path)
