@@ -6,12 +6,42 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomspan.llm import lang_id, toxicity
 from loomspan.llm.bpe import encode
+from loomspan.llm.decontaminate import find_leaks
+from loomspan.llm.lm import lm_scores
 from loomspan.llm.shared import documents
 from loomspan.llm.token_counts import token_counts
 
 
+def fold(mod: int, column: str = "doc_id"):
+    """crc32 of the id as text, modulo mod; 1 for a null id, which is in no held-out fold."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % mod, F.lit(1))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = lm_scores(docs, docs.filter(fold(10) != 0))
+    return scored.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.severity(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = lang_id.identify(docs, lang_id.fit(docs.filter(fold(4) != 2)), with_spans=False)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -23,7 +53,11 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_lm_scoring": op3_lm_scoring,
+        "op5_toxicity": op5_toxicity,
+        "op7_decontamination": op7_decontamination,
         "op9_bpe_encoding": op9_bpe_encoding,
+        "op10_language_id": op10_language_id,
     }
 
 
