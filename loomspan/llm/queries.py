@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomspan.llm import lang_id, toxicity
 from loomspan.llm.bpe import encode
 from loomspan.llm.decontaminate import find_leaks
+from loomspan.llm.jaccard_join import jaccard_components
 from loomspan.llm.lm import lm_scores
 from loomspan.llm.shared import documents
 from loomspan.llm.token_counts import token_counts
@@ -36,6 +37,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = lang_id.identify(docs, lang_id.fit(docs.filter(fold(4) != 2)), with_spans=False)
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_lm_scoring": op3_lm_scoring,
         "op5_toxicity": op5_toxicity,
         "op7_decontamination": op7_decontamination,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_bpe_encoding": op9_bpe_encoding,
         "op10_language_id": op10_language_id,
     }
