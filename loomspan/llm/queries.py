@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomspan.llm import lang_id, toxicity
 from loomspan.llm.bpe import encode
 from loomspan.llm.decontaminate import find_leaks
+from loomspan.llm.fingerprints import version_likeness
 from loomspan.llm.jaccard_join import jaccard_components
 from loomspan.llm.lm import lm_scores
 from loomspan.llm.secrets import RULES, find_secrets
@@ -29,6 +30,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_likeness(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.severity(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_lm_scoring": op3_lm_scoring,
+        "op4_fingerprints": op4_fingerprints,
         "op5_toxicity": op5_toxicity,
         "op6_secrets": op6_secrets,
         "op7_decontamination": op7_decontamination,
