@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import lang_id, toxicity
+from loomspan.llm import lang_id, pii, toxicity
 from loomspan.llm.bpe import encode
 from loomspan.llm.decontaminate import find_leaks
 from loomspan.llm.fingerprints import version_likeness
@@ -24,6 +24,11 @@ def fold(mod: int, column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % mod, F.lit(1))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find_personal_data(docs, pii.fit(docs)).drop("base", "added")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = lm_scores(docs, docs.filter(fold(10) != 0))
@@ -92,6 +97,7 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_personal_data": op2_personal_data,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_fingerprints": op4_fingerprints,
         "op5_toxicity": op5_toxicity,
