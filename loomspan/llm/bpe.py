@@ -19,6 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -232,6 +233,12 @@ class TextEncoder:
                     self.known.pop(w, None)
 
 
+def lists(lengths: list[int], raw: list[bytes]) -> pa.ListArray:
+    """Packed ids of each row as an Arrow list array."""
+    ends = np.cumsum([0, *lengths], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+
+
 def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Encode every whole text and decode it again: doc_id, n_tokens, ids (array<int>, if with_ids), ids_sha256, decoded_sha256.
 
@@ -254,8 +261,8 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
                 ids_sha.append(hashlib.sha256(raw).hexdigest())
                 decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    ids.append([int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)])
-            return batch_of(schema, batch.column(0), n, ids_sha, decoded_sha, *([ids] if with_ids else []))
+                    ids.append(raw)
+            return batch_of(schema, batch.column(0), n, ids_sha, decoded_sha, *([lists(n, ids)] if with_ids else []))
 
         return step
 

@@ -7,6 +7,7 @@ reach the bound are regions of the text, and a banded alignment verifies each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import batch_of, doc_columns, map_arrow
+from loomspan.llm.shared import batch_of, doc_columns, keep_rows, map_arrow
 
 Q = 9
 #: Edits allowed for each character of an item.
@@ -164,17 +165,62 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, id_
     Documents don't move: each task searches its rows against an index of the items.  An index holds BLOCK_CHARS
     characters at most; a larger benchmark is split by a hash of the item into more blocks, each searched in turn.
     """
-    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).dropna()
-    size = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    blocks = -(-size // BLOCK_CHARS) or 1
     out = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct()
-        found = _search(docs, [(r.item_id, r.text) for r in part.collect()], rate, id_col, text_col)
+    for part in _blocks(benchmark, item_id_col, item_text_col):
+        found = _search(docs, part, rate, id_col, text_col)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs in whose text find_leaks() finds no benchmark item, with all of their columns."""
+    for items in _blocks(benchmark, item_id_col, item_text_col):
+        held = docs.sparkSession.sparkContext.broadcast(items)
+
+        def make(held=held):
+            index = ItemIndex.of(held.value, rate)
+
+            def test(ids: list, texts: list[str]) -> list[bool]:
+                leaked = {doc for doc, _ in _places(index, texts)}
+                return [i not in leaked for i in range(len(texts))]
+
+            return test
+
+        docs = keep_rows(docs, make, id_col=id_col, text_col=text_col)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's distinct items in blocks of about BLOCK_CHARS characters, one at least."""
+    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).dropna().distinct()
+    size = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    blocks = -(-size // BLOCK_CHARS) or 1
+    for b in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield [(r.item_id, r.text) for r in part.collect()]
+
+
+def _places(index: ItemIndex, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """(edits, start, end, length of the item) of the best place for each (number of the text, item id) that matches."""
+    codes, at = normal(_GAP.join(texts))
+    raw = np.cumsum([0, *[len(t) + Q for t in texts]])
+    bounds = np.searchsorted(at, raw)
+    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    for item, lo, hi in index.regions(codes):
+        budget, own = int(index.budget[item]), index.codes[item]
+        length = len(own)
+        doc = int(np.searchsorted(bounds, max(0, (lo + hi + length) // 2), side="right")) - 1
+        a, z = int(bounds[doc]), int(bounds[doc + 1]) if doc + 1 < len(bounds) else len(codes)
+        text = codes[a:z]
+        exact = [d for d in range(max(0, lo - a), min(hi - a, len(text) - length + 1)) if text[d] == own[0] and np.array_equal(text[d : d + length], own)]
+        found = (0, exact[0], exact[0] + length) if exact else align(own, text, lo - a, hi - a, budget)
+        if found and found[2] > found[1]:
+            place = (found[0], int(at[a + found[1]] - raw[doc]), int(at[a + found[2] - 1] - raw[doc]) + 1, length)
+            key = (doc, index.ids[item])
+            best[key] = min(best.get(key, place), place)
+    return best
+
+
 def _search(docs: DataFrame, items: list[tuple[int, str]], rate: float, id_col: str, text_col: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(items)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("similarity", pa.float64())])
@@ -184,21 +230,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], rate: float, id_col:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            codes, at = normal(_GAP.join(texts))
-            raw = np.cumsum([0, *[len(t) + Q for t in texts]])
-            bounds = np.searchsorted(at, raw)
-            best: dict[tuple[int, int], tuple] = {}
-            for item, lo, hi in index.regions(codes):
-                budget, length = int(index.budget[item]), len(index.codes[item])
-                doc = int(np.searchsorted(bounds, max(0, (lo + hi + length) // 2), side="right")) - 1
-                a, z = int(bounds[doc]), int(bounds[doc + 1]) if doc + 1 < len(bounds) else len(codes)
-                text = codes[a:z]
-                exact = [d for d in range(max(0, lo - a), min(hi - a, len(text) - length + 1)) if text[d] == index.codes[item][0] and np.array_equal(text[d : d + length], index.codes[item])]
-                found = (0, exact[0], exact[0] + length) if exact else align(index.codes[item], text, lo - a, hi - a, budget)
-                if found and found[2] > found[1]:
-                    place = (found[0], int(at[a + found[1]] - raw[doc]), int(at[a + found[2] - 1] - raw[doc]) + 1, length)
-                    key = (doc, index.ids[item])
-                    best[key] = min(best.get(key, place), place)
+            best = _places(index, texts)
             if not best:
                 return None
             rows = [(ids[d], i, e, s, z, 1 - e / n) for (d, i), (e, s, z, n) in sorted(best.items())]

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.components import components
@@ -310,3 +310,20 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     named = joined.join(least, "label").select("class", "component_id")
     own = sets.select("doc_id", "n", "class")
     return own.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, but for those that jaccard_components() links to a smaller id.
+
+    Of rows that repeat an id the first by text stays.  Rows without a word or with a null id are linked with nothing
+    and stay.
+    """
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    names = docs.columns
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    alone = F.col("id").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    linked = rows.filter(~alone).join(kept.select(F.col(id_col).alias("id")), "id", "left_semi")
+    first = linked.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("text"))).filter("n = 1")
+    every = first.select("row").unionByName(rows.filter(alone).select("row"))
+    return every.select(*[F.col("row").getField(c).alias(c) for c in names])

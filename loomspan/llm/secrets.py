@@ -172,7 +172,27 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: st
     Candidates are a saved table of ids; texts only meet them by a join that Spark sizes from that table (broadcast if
     it is small, by shuffle of the texts otherwise).
     """
-    rows = doc_columns(docs, id_col=id_col, text_col=text_col).withColumn("mark", F.xxhash64("text"))
+    return _marked(docs, rules, id_col, text_col).select("doc_id", "found")
+
+
+def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs with each secret of find_secrets() replaced by its kind in brackets; overlapping ones are replaced as one.
+
+    All columns stay as they are but the text and, if there is one, the column with its length.
+    """
+    step = """if(x.start >= acc.at, struct(x.end as at, concat(acc.out, substring(text, acc.at + 1, x.start - acc.at), '[', x.kind, ']') as out),
+        if(x.end > acc.at, struct(x.end as at, acc.out as out), acc))"""
+    clean = f"if(size(found) = 0, row.`{text_col}`, aggregate(found, struct(0 as at, '' as out), (acc, x) -> {step}, acc -> concat(acc.out, substring(text, acc.at + 1, length(text)))))"
+    rows = _marked(docs, rules, id_col, text_col).select("row", F.expr(clean).alias("clean"))
+    own = {text_col: F.col("clean")}
+    if length_col in docs.columns:
+        own[length_col] = F.length("clean").cast(docs.schema[length_col].dataType)
+    return rows.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def _marked(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    """(row: all columns of docs, doc_id, text, found)."""
+    rows = doc_columns(docs, F.struct("*").alias("row"), id_col=id_col, text_col=text_col).withColumn("mark", F.xxhash64("text"))
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
     empty = "cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)"
@@ -182,4 +202,4 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: st
         candidates = written(intersect(postings(rows, trigrams), indexed), "candidates")
         rows = rows.alias("d").join(candidates.select(F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), *indexed), F.col("d.doc_id").eqNullSafe(F.col("c_id")) & (F.col("d.mark") == F.col("c_mark")), "left")
         scanned = [F.expr(f"if(coalesce({r.kind}, false), {spans(r, i)}, {empty})") if r.kind in indexed else scanned[i] for i, r in enumerate(rules)]
-    return rows.select("doc_id", F.array_sort(F.concat(*scanned)).alias("found"))
+    return rows.select("row", "doc_id", "text", F.array_sort(F.concat(*scanned)).alias("found"))

@@ -79,10 +79,25 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], list[bool]]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Filter whole rows of docs where they lie, all columns as they are: make() builds a task's test of (ids, texts)."""
+    names = docs.columns
+    at_id, at_text = names.index(id_col), names.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            for part in pieces(batch, text_col):
+                texts = [t or "" for t in part.column(at_text).to_pylist()]
+                yield part.filter(pa.array(test(part.column(at_id).to_pylist(), texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def doc_columns(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text under fixed names, whatever else the table carries; a null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

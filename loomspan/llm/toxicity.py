@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import batch_of, doc_columns, map_arrow
+from loomspan.llm.shared import batch_of, doc_columns, keep_rows, map_arrow
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Besides whole words, the first so many letters of longer ones are features: inflected words share them.
@@ -51,7 +51,7 @@ class SeverityModel:
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         x = np.array([sum(self.weights[f] * np.log1p(n) for f, n in sorted(self.counts(t).items())) for t in texts], float)
-        return tuple(1 / (1 + np.exp(-np.clip(x - c, -60, 60))) for c in self.cuts)
+        return tuple(1 / (1 + np.exp(-np.clip(x - c, -60, 60))) for c in self.cuts)  # grade > 0, grade > 1
 
 
 def fit_ordinal(x: np.ndarray, grades: np.ndarray, *, l2: float = 3e-5, steps: int = 500, rate: float = 0.3) -> tuple[np.ndarray, tuple[float, float]]:
@@ -119,7 +119,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 5000, id_col:
     return fit_texts(found.text.tolist(), found.toxic.tolist())
 
 
-def severity(docs: DataFrame, model: SeverityModel, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+THRESHOLD = 0.3
+
+
+def _is_toxic(texts: list[str], mild: np.ndarray, threshold: float) -> np.ndarray:
+    return (mild > threshold) & np.array([bool(t) for t in texts], bool)
+
+
+def without_toxic(docs: DataFrame, model: SeverityModel, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text severity() doesn't call toxic, with all of their columns."""
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.cuts))
+
+    def make():
+        own = SeverityModel(*held.value)
+        return lambda ids, texts: (~_is_toxic(texts, own.scores(texts)[0], threshold)).tolist()
+
+    return keep_rows(docs, make, id_col=id_col, text_col=text_col)
+
+
+def severity(docs: DataFrame, model: SeverityModel, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Grade every whole text: doc_id, p_mild (grade > 0), p_severe (grade > 1), severity (expected, 0 to 2), toxic (p_mild over threshold).
 
     Null and empty texts have no features: they get the model's base severity and are never toxic.  Repeated rows
@@ -134,8 +152,7 @@ def severity(docs: DataFrame, model: SeverityModel, *, threshold: float = 0.3, i
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
             mild, severe = own.scores(texts)
-            toxic = (mild > threshold) & np.array([bool(t) for t in texts], bool)
-            return batch_of(schema, batch.column(0), mild, severe, mild + severe, toxic)
+            return batch_of(schema, batch.column(0), mild, severe, mild + severe, _is_toxic(texts, mild, threshold))
 
         return step
 
