@@ -10,7 +10,7 @@ in one order shared by all documents.  The short lists of all documents are merg
 blocks; lists of one class of equal documents drop out there.  Documents on a list are compared to its first
 document, not to each other.  Linked ones form components, and what remains are lists on which several components
 meet: there, pairs of different components are compared, but for those that the distances to the first document
-exclude (Jaccard distance is a metric).  So every link between different components is found, and no group of near
+exclude (Jaccard distance is a metric).  Before sets are probed, bitmaps exclude pairs that differ in too many shingles.  So every link between different components is found, and no group of near
 copies is expanded into all of its pairs.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.components import components
-from loomspan.llm.shared import batch_of, doc_columns, map_arrow, pieces, written
+from loomspan.llm.shared import batch_of, doc_columns, frequent, map_arrow, pieces, written
 
 #: Words of a shingle; least similarity in hundredths.
 WORDS, LEAST = 5, 75
@@ -33,6 +33,8 @@ WORDS, LEAST = 5, 75
 LONG_BLOCK, LONG_ALL, LONG_MOST = 3, 24, 400_000
 BLOCK_SHINGLES = 3_000_000
 KEEP_WORDS = 400_000
+#: Ids of documents to verify that are sent to all tasks at most (8 bytes each).
+WANTED_MOST = 2_000_000
 
 
 class WordHashes(dict):
@@ -83,6 +85,28 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """A set's shingles as bits, about one for each: the least power of two, 64 at least."""
+    size = max(64, 1 << max(0, len(own) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(own >> np.uint64(11)) & np.uint64(size - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(x: bytes, n: int, y: bytes, m: int) -> bool:
+    """Whether bitmaps of sets of n and m allow a link: each bit that only one has is a shingle that the other lacks."""
+    while len(x) != len(y):  # fold the longer one
+        if len(x) > len(y):
+            half = len(x) // 2
+            x = (int.from_bytes(x[:half]) | int.from_bytes(x[half:])).to_bytes(half)
+        else:
+            half = len(y) // 2
+            y = (int.from_bytes(y[:half]) | int.from_bytes(y[half:])).to_bytes(half)
+    a, b = int.from_bytes(x), int.from_bytes(y)
+    shared = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+    return 100 * shared >= LEAST * (n + m - shared)
+
+
 def long_lists(rows: DataFrame) -> np.ndarray:
     """Shingles of the longest lists, counted over all documents block by block."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
@@ -113,7 +137,7 @@ def long_lists(rows: DataFrame) -> np.ndarray:
             yield counted()
 
     found = rows.select("doc_id", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.filter(F.col("n") >= LONG_ALL).orderBy(F.desc("n"), "h").limit(LONG_MOST).select("h").toArrow()
+    top = frequent(written(found.filter(F.col("n") >= LONG_ALL), "long-lists"), "n", "h", LONG_MOST).select("h").toArrow()
     return np.sort(top.column(0).to_numpy().view(np.uint64))
 
 
@@ -128,38 +152,39 @@ def in_order(own: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def shingle_sets(rows: DataFrame, long: np.ndarray) -> DataFrame:
-    """(doc_id, n, class, short, long) of each document: shingles whose lists are merged, packed, by kind of list."""
+    """(doc_id, n, class, bits, short, long) of each document: bitmap, and shingles whose lists are merged, packed, by kind of list."""
     held = rows.sparkSession.sparkContext.broadcast(long)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("short", pa.binary()), ("long", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("bits", pa.binary()), ("short", pa.binary()), ("long", pa.binary())])
 
     def make():
         hashes, sent = WordHashes(), set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, keys, short, far = [], [], [], []
+            n, keys, bits, short, far = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingles(text, hashes)
                 key = same(own)
                 n.append(len(own))
                 keys.append(key if len(own) and doc_id is not None else None)
                 if key in sent or keys[-1] is None:  # one row of a class brings its lists
-                    short.append(b"")
-                    far.append(b"")
+                    for column in (bits, short, far):
+                        column.append(b"")
                     continue
                 sent.add(key)
                 ordered, border = in_order(own, held.value)
                 merged = ordered[: len(own) - needed(len(own)) + 1]
+                bits.append(bitmap(own))
                 short.append(merged[:border].tobytes())
                 far.append(merged[border:].tobytes())
             if len(hashes) > KEEP_WORDS:
                 hashes.clear()
             if len(sent) > KEEP_WORDS:
                 sent.clear()
-            return batch_of(schema, batch.column(0), n, keys, short, far)
+            return batch_of(schema, batch.column(0), n, keys, bits, short, far)
 
         return step
 
-    return map_arrow(rows, make, "doc_id long, n long, class long, short binary, long binary")
+    return map_arrow(rows, make, "doc_id long, n long, class long, bits binary, short binary, long binary")
 
 
 def merged_lists(sets: DataFrame, buckets: int) -> DataFrame:
@@ -207,25 +232,53 @@ def merged_lists(sets: DataFrame, buckets: int) -> DataFrame:
     return short.unionByName(far.distinct())
 
 
-def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, shared, either): sizes of intersection and union of the sets of classes a and b, probed by binary search."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = wanted.join(classes, "class").select(F.col("rep").alias("doc_id"))
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes those whose sizes and bitmaps allow a link."""
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    fits = (F.col("n_a") * 100 >= F.col("n_b") * LEAST) & (F.col("n_b") * 100 >= F.col("n_a") * LEAST)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            yield batch.select(["a", "b"]).filter(pa.array(map(may_link, x, n, y, m), pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def sets_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class, own) of the rows with the wanted ids.  Up to WANTED_MOST ids are sent to the rows; beyond, rows are joined to them."""
+    spark = rows.sparkSession
     schema = pa.schema([("class", pa.int64()), ("own", pa.binary())])
+    many = wanted.count()
+    if many <= WANTED_MOST:
+        held = spark.sparkContext.broadcast(np.sort(wanted.select("doc_id").toArrow().column(0).to_numpy()))
+    else:
+        held, rows = None, rows.join(wanted, "doc_id", "left_semi")
 
     def make():
         hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1)
+            if held is not None:
+                texts = texts.filter(pa.array(np.isin(batch.column(0).to_numpy(zero_copy_only=False), held.value)))
+            own = [shingles(t, hashes) for t in texts.to_pylist()]
             if len(hashes) > KEEP_WORDS:
                 hashes.clear()
             return batch_of(schema, list(map(same, own)), [s.tobytes() for s in own])
 
         return step
 
+    return map_arrow(rows.filter("doc_id is not null"), make, "class long, own binary")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, shared, either): sizes of intersection and union of the sets of classes a and b, probed by binary search."""
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = wanted.join(classes, "class").select(F.col("rep").alias("doc_id")).distinct()
     # ids may repeat with other texts: the class is taken from the text, and one row of each kept
-    own = written(map_arrow(rows.join(wanted.distinct(), "doc_id", "left_semi"), make, "class long, own binary").dropDuplicates(["class"]), "sets")
+    own = written(sets_of(written(wanted, "wanted"), rows).dropDuplicates(["class"]), "sets")
     right = pairs.select("a", "b").join(own.select(F.col("class").alias("b"), F.col("own").alias("right")), "b")
     both = right.join(own.select(F.col("class").alias("a"), F.col("own").alias("left")), "a")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("either", pa.int64())])
@@ -248,25 +301,26 @@ def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h, c, n, label, far = (table.column(i).to_numpy() for i in range(5))
     order = np.lexsort((n, h))
     h, c, n, label, far = (x[order] for x in (h, c, n, label, far))
-    ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
-    found, start = [], 0
-    for end in ends.tolist():
-        for i in range(start, end - 1):
-            stop = start + int(np.searchsorted(n[start:end], n[i] * 100 // LEAST, side="right"))  # sizes from n[i] to n[i] / 0.75
-            part = slice(i + 1, stop)
-            near = np.isnan(far[part]) | np.isnan(far[i]) | (np.abs(far[part] - far[i]) <= 1 - LEAST / 100 + 1e-9)
-            ok = np.flatnonzero((label[part] != label[i]) & near)
-            if len(ok):
-                other = c[i + 1 + ok]
-                found.append(np.stack([np.minimum(other, c[i]), np.maximum(other, c[i])], 1))
-            if len(found) > 500:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                if len(found[0]) > 100_000:
-                    yield batch_of(schema, found[0][:, 0], found[0][:, 1])
-                    found = []
-        start = end
-    if found:
-        pairs = np.unique(np.concatenate(found), axis=0)
+    open_rows, held, size = np.arange(len(h) - 1), [], 0
+    step = 0
+    while len(open_rows):  # each row and the one `step` further, as long as list and sizes allow
+        step += 1
+        open_rows = open_rows[open_rows + step < len(h)]
+        other = open_rows + step
+        goes_on = (h[open_rows] == h[other]) & (n[other] * LEAST <= n[open_rows] * 100)
+        open_rows, other = open_rows[goes_on], other[goes_on]
+        far_off = np.abs(far[open_rows] - far[other]) > 1 - LEAST / 100 + 1e-9  # false where a distance is unknown
+        ok = (label[open_rows] != label[other]) & ~far_off
+        x, y = c[open_rows[ok]], c[other[ok]]
+        held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        size += len(x)
+        if size > 2_000_000:
+            held = [np.unique(np.concatenate(held), axis=0)]
+            if (size := len(held[0])) > 1_000_000:
+                yield batch_of(schema, held[0][:, 0], held[0][:, 1])
+                held, size = [], 0
+    if size:
+        pairs = np.unique(np.concatenate(held), axis=0)
         yield batch_of(schema, pairs[:, 0], pairs[:, 1])
 
 
@@ -280,17 +334,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = doc_columns(docs, id_col=id_col, text_col=text_col)
     spark = docs.sparkSession
     sets = written(shingle_sets(rows, long_lists(rows)), "shingles")
-    classes = written(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = written(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = written(merged_lists(sets, buckets), "lists")
 
     first = lists.groupBy("h").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last").select("h", "first")
     sizes = classes.select("class", "n")
     listed = written(lists.join(first, "h").join(sizes, "class"), "listed")
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * LEAST) & (F.col(y) * 100 >= F.col(x) * LEAST)
-    stars = listed.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"), F.col("n").alias("n_b")).distinct()
-    stars = stars.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("n_a")), "a").filter(fits("n_a", "n_b"))
-    seen = written(verified(written(stars.select("a", "b"), "pairs"), rows, classes), "verified")
+    stars = listed.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
+    seen = written(verified(written(possible(stars, classes), "pairs"), rows, classes), "verified")
     linked = F.col("shared") * 100 >= F.col("either") * LEAST
     links = seen.filter(linked).select("a", "b")
     labels = components(links).withColumnRenamed("id", "class")
@@ -300,7 +352,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     far = seen.select(F.col("a").alias("first"), F.col("b").alias("class"), (1 - F.col("shared") / F.col("either")).alias("far"))
     rest = marked.join(several, "h", "left_semi").filter("class <> first").join(far, ["first", "class"], "left")
     rest = rest.select("h", "class", "n", "label", F.coalesce("far", F.lit(float("nan"))).alias("far"))
-    pairs = written(rest.repartition("h").mapInArrow(_meetings, "a long, b long").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    pairs = rest.repartition("h").mapInArrow(_meetings, "a long, b long").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = written(possible(pairs, classes), "pairs")
     if not pairs.isEmpty():
         more = written(verified(pairs, rows, classes).filter(linked).select("a", "b"), "verified")
         if not more.isEmpty():

@@ -79,6 +79,15 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def frequent(counts: DataFrame, n_col: str, key_col: str, most: int) -> DataFrame:
+    """The `most` rows of the greatest counts (of equals the least keys), of a saved table; a quantile cuts the rest off first, so that no task sends more than its share."""
+    size = counts.count()
+    if size > 2 * most:
+        cut = counts.agg(F.percentile_approx(n_col, 1 - 1.2 * most / size, 20_000).alias("cut")).first().cut
+        counts = counts.filter(F.col(n_col) >= cut)
+    return counts.orderBy(F.desc(n_col), key_col).limit(most)
+
+
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], list[bool]]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Filter whole rows of docs where they lie, all columns as they are: make() builds a task's test of (ids, texts)."""
     names = docs.columns
