@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.shared import batch_of, doc_columns, map_arrow, pieces, written
+from loomspan.llm.shared import frequent as most_frequent
 
 ALPHA = 0.1
 KEEP_COUNTS = 200_000
@@ -177,7 +178,7 @@ def lm_scores(docs: DataFrame, train_on: DataFrame, *, frequent: int = 60_000, o
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
     below = np.log10(total + ALPHA * (distinct + 1)) if total else 0.0
-    head = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
+    head = most_frequent(counts, "n", "word", frequent).collect()
     own = max(0, min(own, len(head)))
     classes = Classes({bytes(r.word): i for i, r in enumerate(head)}, own, shared, np.log10(np.array([r.n for r in head], float) + ALPHA))
     # what a shared class holds over all documents, for the probability of a word within it
