@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.similarity import person_similarity
+from loomspan.functions.people import score_people
 from loomspan.functions.text import EMPTY_ANALYSIS, normal_place, present, price, split_people, surname
+from loomspan.operators.grouped import per_group
 
 ROLES = ("seller", "buyer", "middleman")
 #: Least score at which a mention joins an entity.
@@ -160,15 +161,15 @@ def communities(adjacent: dict[str, set[str]]) -> dict[str, int]:
 def network_of_tasks(edges: DataFrame, task: str) -> DataFrame:
     """Betweenness and community of each node in the graph of each task (task, src, dst): a task holds the deeds that a user picked, so its graph is small."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(number, c) -> list[tuple]:
         adjacent: dict[str, set[str]] = {}
-        for a, b in zip(pdf.src, pdf.dst, strict=True):
+        for a, b in zip(c["src"], c["dst"], strict=True):
             adjacent.setdefault(a, set()).add(b)
             adjacent.setdefault(b, set()).add(a)
         between, part = betweenness(adjacent), communities(adjacent)
-        return pd.DataFrame({task: pdf[task].iloc[0], "node": list(adjacent), "betweenness": [round(between[n], 6) for n in adjacent], "community": [part[n] for n in adjacent]})
+        return [(number, n, round(between[n], 6), part[n]) for n in adjacent]
 
-    return edges.select(task, "src", "dst").groupBy(task).applyInPandas(one, f"{task} long, node string, betweenness double, community int")
+    return per_group(edges.select(task, "src", "dst"), task, ["src", "dst"], one, f"{task} long, node string, betweenness double, community int")
 
 
 def scored_pairs(said: DataFrame, task: str) -> DataFrame:
@@ -217,33 +218,18 @@ def standard_name(names: list[str]) -> str:
 def resolve(said: DataFrame, task: str) -> DataFrame:
     """Entities of each task: (task, entity, name, n_mentions, n_docs, cross_role).
 
-    Scores come from built-in functions (scored_pairs); only the order-dependent assignment runs in Python, for one
-    task's mentions at a time.
+    Assignment depends on the order of mentions (deed, role, name), so that one task's mentions go through Python
+    together; a task holds the deeds that one user picked.
     """
-    pairs = scored_pairs(said, task).filter("score > 0").select(task, "name_a", "year_a", "place_a", "name_b", "year_b", "place_b", "score")
-    rows = said.select(task, "id", "role", "name", "year", "place")
-
-    def one(key: tuple, own: pd.DataFrame, scores: pd.DataFrame) -> pd.DataFrame:
-        spell = lambda name, year, place: (name, None if pd.isna(year) else int(year), place or "")
-        known = {}
-        for r in scores.itertuples(index=False):
-            a, b = spell(r.name_a, r.year_a, r.place_a), spell(r.name_b, r.year_b, r.place_b)
-            known[a, b] = known[b, a] = r.score
-
-        def score(x, y) -> float:
-            a, b = (x[0], x[2], x[3]), (y[0], y[2], y[3])
-            if a == b:  # the same in all respects
-                return 0.55 + 0.20 * bool(a[1]) + 0.25 * bool(a[2])
-            return known.get((a, b), 0.0)
-
-        role = {"seller": 0, "buyer": 1, "middleman": 2}
-        own = own.assign(r=own.role.map(role)).sort_values(["id", "r", "name"], kind="stable")
-        mentions = [(n, r, *spell(n, y, p)[1:], d) for n, r, y, p, d in zip(own.name, own.role, own.year, own.place, own.id, strict=True)]
-        at = resolve_task(mentions, score)
-        out = []
-        for e in range(max(at, default=-1) + 1):
-            group = [m for m, k in zip(mentions, at, strict=True) if k == e]
-            out.append((key[0], e, standard_name([m[0] for m in group]), len(group), len({m[4] for m in group}), len({m[1] for m in group}) > 1))
-        return pd.DataFrame(out, columns=[task, "entity", "name", "n_mentions", "n_docs", "cross_role"])
-
-    return rows.groupBy(task).cogroup(pairs.groupBy(task)).applyInPandas(one, f"{task} long, entity int, name string, n_mentions long, n_docs long, cross_role boolean")
+    role = {"seller": 0, "buyer": 1, "middleman": 2}
+    rows = said.withColumn("r", F.create_map(*[F.lit(x) for kv in role.items() for x in kv])[F.col("role")]).select(task, "id", "r", "name", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("place", F.lit("")).alias("place"))
+
+    def one(number, c) -> list[tuple]:
+        mentions = [(n, r, int(y) or None, p, d) for n, r, y, p, d in zip(c["name"], c["r"], c["year"], c["place"], c["id"], strict=True)]
+        at = resolve_task(mentions, lambda x, y: score_people(x[0], y[0], x[2], y[2], x[3], y[3]))
+        groups: dict[int, list[tuple]] = {}
+        for m, k in zip(mentions, at, strict=True):
+            groups.setdefault(k, []).append(m)
+        return [(number, k, standard_name([m[0] for m in g]), len(g), len({m[4] for m in g}), len({m[1] for m in g}) > 1) for k, g in groups.items()]
+
+    return per_group(rows, task, ["id", "r", "name"], one, f"{task} long, entity int, name string, n_mentions long, n_docs long, cross_role boolean")

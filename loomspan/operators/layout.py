@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.similarity import box_containment, box_iou
 from loomspan.functions.text import PLACEHOLDER, visible_length
+from loomspan.operators.grouped import per_group
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -101,24 +101,23 @@ def laid_out(segments: DataFrame, page: str, *, size: tuple[float, float] = (100
     A page's segments go through Python together: they are those of one image.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg", kind="stable")
-        boxes = pdf[list(BOX)].to_numpy(float)
-        kept = suppress(boxes, pdf.score.to_numpy(float), iou=iou)
+    def one(number, c) -> list[tuple]:
+        boxes = np.stack([c[x] for x in BOX], 1).astype(float)
+        kept = suppress(boxes, c["score"].astype(float), iou=iou)
         place, kind = reading_order(boxes[kept], size)
-        return pd.DataFrame({page: pdf[page].iloc[kept], "seg": pdf.seg.iloc[kept], "segment_id": [f"s{p:04d}" for p in place], "order_index": place.astype(np.int32), "layout_orientation": kind})
+        return [(number, c["seg"][i], f"s{p:04d}", p, kind) for i, p in zip(kept, place.tolist(), strict=True)]
 
-    return segments.select(page, "seg", *BOX, "score").groupBy(page).applyInPandas(one, f"{page} long, seg long, segment_id string, order_index int, layout_orientation string")
+    return per_group(segments.select(page, "seg", *BOX, "score"), page, ["seg"], one, f"{page} long, seg long, segment_id string, order_index int, layout_orientation string")
 
 
 def clustered(segments: DataFrame, page: str, *, iou: float = 0.45) -> DataFrame:
     """Segments of all views of each page with the cluster to which they belong."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg", kind="stable")
-        return pd.DataFrame({page: pdf[page], "seg": pdf.seg, "cluster": cluster(pdf[list(BOX)].to_numpy(float), pdf.score.to_numpy(float), iou=iou)})
+    def one(number, c) -> list[tuple]:
+        boxes = np.stack([c[x] for x in BOX], 1).astype(float)
+        return [(number, seg, k) for seg, k in zip(c["seg"], cluster(boxes, c["score"].astype(float), iou=iou).tolist(), strict=True)]
 
-    return segments.select(page, "seg", *BOX, "score").groupBy(page).applyInPandas(one, f"{page} long, seg long, cluster long")
+    return per_group(segments.select(page, "seg", *BOX, "score"), page, ["seg"], one, f"{page} long, seg long, cluster long")
 
 
 def fixed_order(segments: DataFrame, page: str, *, vertical: bool = True) -> DataFrame:

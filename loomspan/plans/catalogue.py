@@ -13,6 +13,7 @@ from loomspan.functions.similarity import cosine
 from loomspan.operators import analysis, dashboard, layout, relational, retrieval
 from loomspan.sources import deeds
 from loomspan.sources.deeds import SQL, table
+from loomspan.streaming import tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -569,3 +570,44 @@ def rt02_context(spark, d):
 @query("SELECT conv_id, turn, role, back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6 AND role IN ('user', 'assistant') AND coalesce(text, '') <> ''", model=False)
 def wn05_history(spark, d):
     return retrieval.history(table(spark, d, "conversations"), "conv_id", F.desc("turn")).select("conv_id", "turn", "role", "back")
+
+
+# Events --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type", model=False)
+def sm01_event_totals(spark, d):
+    rows = tasks.drained(tasks.landing(spark, d, "events.parquet"), "events")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT * FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)", model=False)
+def sm02_windows(spark, d):
+    """The batch form of the windowed stream: the same plan, all windows final."""
+    return tasks.windowed(table(spark, d, "events"))
+
+
+@query()
+def sm03_expiring_keys(spark, d):
+    return tasks.drained(tasks.expiring(tasks.landing(spark, d, "events.parquet"), "user_id"), "expiring")
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= 2 AS allowed FROM events", model=False)
+def sm04_rate_limit(spark, d):
+    return tasks.rate_limited(table(spark, d, "events"), "user_id", most=2).select("event_id", "user_id", "allowed")
+
+
+@query(
+    """SELECT id, CASE WHEN won = 1 THEN 'done' WHEN lost >= 3 THEN 'failed' WHEN won IS NOT NULL THEN 'pending' ELSE 'processing' END AS status, coalesce(lost, 0)::INTEGER AS tries
+    FROM (SELECT c_custkey AS id FROM customer) LEFT JOIN (SELECT user_id, max((event_type <> 'error' AND value > 60)::INTEGER) AS won, sum((event_type = 'error' OR value <= 60)::INTEGER) AS lost FROM events GROUP BY user_id) ON user_id = id""",
+    model=False,
+)
+def sm05_status_machine(spark, d):
+    waiting = deeds.users(spark, d).select("id", F.lit("processing").alias("status"), F.lit(0).alias("tries"))
+    outcomes = table(spark, d, "events").select(F.col("user_id").alias("id"), ((F.col("event_type") != "error") & (F.col("value") > 60)).alias("ok"))
+    return tasks.advanced(waiting, outcomes)
+
+
+@query()
+def sm06_in_flight_once(spark, d):
+    return tasks.drained(tasks.in_flight_once(tasks.landing(spark, d, "events.parquet"), ["user_id", "event_type"]), "in-flight")
