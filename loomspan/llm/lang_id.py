@@ -55,8 +55,8 @@ class LanguageModel:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log posterior of each word over the languages, no less than -12; level where no language has its script."""
-        if not words:
-            return np.zeros((0, len(self.languages)), np.float32)
+        if not words or not self.languages:
+            return np.zeros((len(words), len(self.languages)), np.float32)
         at, starts, scripts = trigrams(words)
         raw = np.add.reduceat(self.table[at], starts)
         may = self.allowed[scripts]
