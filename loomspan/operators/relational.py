@@ -64,12 +64,12 @@ def locks(results: DataFrame, now: datetime, *, minutes: int = 30) -> DataFrame:
 def upsert(current: DataFrame, changes: DataFrame, key: str, *, order: str) -> DataFrame:
     """The last change of each key replaces its row or is added; other rows stay.  Both sides have the same columns."""
     last = latest_per(changes, key, order=order)
-    return current.join(last.select(key), key, "left_anti").unionByName(last.select(*current.columns))
+    return current.join(last.select(key), key, "left_anti").select(*current.columns).unionByName(last.select(*current.columns))
 
 
 def delete(current: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Without rows of these ids; unknown ids don't matter."""
-    return current.join(ids.select(key).distinct(), key, "left_anti")
+    return current.join(ids.select(key).distinct(), key, "left_anti").select(*current.columns)
 
 
 def cascade(tables: list[tuple[str, DataFrame, str]], gone: DataFrame) -> dict[str, DataFrame]:
@@ -77,7 +77,7 @@ def cascade(tables: list[tuple[str, DataFrame, str]], gone: DataFrame) -> dict[s
     left = {}
     for name, df, parent in tables:
         dead = gone.select(F.col("id").alias(parent)).distinct()
-        left[name] = df.join(dead, parent, "left_anti")
+        left[name] = df.join(dead, parent, "left_anti").select(*df.columns)
         gone = df.join(dead, parent, "left_semi").select("id")
     return left
 
