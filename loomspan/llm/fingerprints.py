@@ -18,7 +18,7 @@ from loomspan.llm.shared import doc_columns
 CELLS, TABLES, RETRIES = 8, 3, 9
 #: Lines longer than this are cut after the ends of sentences.
 LONG_LINE = 400
-ROUNDS = 40
+ROUNDS = 90
 CELL = "struct<cell:int,n:int,key:bigint,chk:bigint>"
 
 
@@ -34,12 +34,12 @@ def cells_of(key: str, size: str, sign: str) -> str:
     return f"array({', '.join(one)})"
 
 
-def merged(entries: str) -> str:
-    """SQL: entries summed by cell; empty cells are left out.  Sorted entries are folded once from left to right."""
+def merged(entries: str, *, keep_empty: bool = False) -> str:
+    """SQL: entries summed by cell; empty cells are left out (or kept).  Sorted entries are folded once from left to right."""
     start = f"struct(cast(array() as array<{CELL}>) as done, struct(-1 as cell, 0 as n, 0L as key, 0L as chk) as now)"
-    filled = "(acc.now.n <> 0 or acc.now.key <> 0 or acc.now.chk <> 0)"
+    filled = "acc.now.cell >= 0" if keep_empty else "(acc.now.n <> 0 or acc.now.key <> 0 or acc.now.chk <> 0)"
     done = f"if({filled}, concat(acc.done, array(acc.now)), acc.done)"
-    return f"""aggregate(array_sort({entries}), {start},
+    return f"""aggregate(sort_array({entries}), {start},
         (acc, e) -> if(acc.now.cell = e.cell,
             struct(acc.done as done, struct(e.cell as cell, acc.now.n + e.n as n, acc.now.key ^ e.key as key, acc.now.chk ^ e.chk as chk) as now),
             struct({done} as done, e as now)),
@@ -56,13 +56,17 @@ def let(name: str, value: str, body: str) -> str:
 
 
 def peeled(cells: str, size: str) -> str:
-    """SQL: how many digests differ, from the cells of a difference; -1 if some can't be recovered."""
-    pure = "filter(s.cells, c -> (c.n = 1 or c.n = -1) and (xxhash64(c.key, 77) & 4294967295L) = c.chk and pmod(xxhash64(c.key, cast(floor(c.cell / {size}) as int)), {size}) = c.cell % {size})".format(size=size)
-    taken = f"flatten(transform(p, c -> {cells_of('c.key', size, '-c.n')}))"
-    keys = f"array_distinct(transform({pure}, c -> struct(c.key as key, c.n as n)))"
-    step = let("p", keys, f"if(size(p) = 0, struct(s.cells as cells, s.found as found, true as over), {let('rest', merged(f'concat(s.cells, {taken})'), 'struct(rest as cells, s.found + size(p) as found, size(rest) = 0 as over)')})")
-    return f"""aggregate(sequence(1, {ROUNDS}), struct({cells} as cells, 0 as found, size({cells}) = 0 as over),
-        (s, i) -> if(s.over, s, {step}), s -> if(size(s.cells) = 0, s.found, -1))"""
+    """SQL: how many digests differ, from the cells of a difference; -1 if some can't be recovered.
+
+    Rounds take the tables in turn: a digest has one cell in a table, so none is taken twice.  A cell with one digest
+    goes, and that digest is taken out of its cells in the other tables.  Three idle rounds in a row are the end.
+    """
+    pure = f"(cast(floor(c.cell / {size}) as int) = i % {TABLES} and (c.n = 1 or c.n = -1) and (xxhash64(c.key, 77) & 4294967295L) = c.chk)"
+    others = f"transform(filter(sequence(0, {TABLES - 1}), t -> t <> i % {TABLES}), t -> struct(cast(t * {size} + pmod(xxhash64(c.key, t), {size}) as int) as cell, -c.n as n, c.key as key, c.chk as chk))"
+    left = merged(f"concat(filter(s.cells, c -> not {pure}), flatten(transform(p, c -> {others})))")
+    step = let("p", f"filter(s.cells, c -> {pure})", f"if(size(p) = 0, struct(s.cells as cells, s.found as found, s.idle + 1 as idle), struct({left} as cells, s.found + size(p) as found, 0 as idle))")
+    return f"""aggregate(sequence(1, {ROUNDS}), struct({cells} as cells, 0 as found, 0 as idle),
+        (s, i) -> if(s.idle = {TABLES} or size(s.cells) = 0, s, {step}), s -> if(size(s.cells) = 0, s.found, -1))"""
 
 
 def likeness(a_keys: str, b_keys: str, a_cells: str, b_cells: str) -> str:
@@ -71,21 +75,25 @@ def likeness(a_keys: str, b_keys: str, a_cells: str, b_cells: str) -> str:
     Should all retries fail, the digests themselves are compared.
     """
     negated = f"transform({b_cells}, c -> struct(c.cell as cell, -c.n as n, c.key as key, c.chk as chk))"
-    first = let("d", merged(f"concat({a_cells}, {negated})"), peeled("d", str(CELLS)))
+    # counts of the difference tell about how many digests differ: squares add up, for each table, to their number and
+    # to what one version has more; so sizes that can't do aren't tried
+    gap = f"(size({a_keys}) - size({b_keys}))"
+    guess = f"greatest(abs({gap}), aggregate(d0, 0, (t, c) -> t + c.n * c.n) / {TABLES} - {gap} * {gap} / {CELLS})"
+    first = f"if(g > {CELLS * TABLES // 2}, -1, {peeled('d0', str(CELLS))})"
     size = f"(cast({CELLS} * power(4, r) as int))"
-    again = let("d", merged(f"concat({sketch(a_keys, size)}, {sketch(b_keys, size, '-1')})"), peeled("d", size))
-    # counts are part of a sketch: where they alone differ by more than the cells can tell apart, that size can't do
-    retried = f"aggregate(sequence(1, {RETRIES}), {first}, (found, r) -> if(found >= 0 or abs(size({a_keys}) - size({b_keys})) > {TABLES} * {size}, found, {again}))"
+    again = let("d", merged(f"flatten(concat(transform({a_keys}, k -> {cells_of('k', size, '1')}), transform({b_keys}, k -> {cells_of('k', size, '-1')})))"), peeled("d", size))
+    retried = f"aggregate(sequence(1, {RETRIES}), {first}, (found, r) -> if(found >= 0 or g > {TABLES} * {size} / 2, found, {again}))"
+    retried = let("d0", merged(f"concat({a_cells}, {negated})"), let("g", guess, retried))
     both = f"(size({a_keys}) + size({b_keys}))"
     exact = f"(size(array_except({a_keys}, {b_keys})) + size(array_except({b_keys}, {a_keys})))"
     share = f"if({both} = 0, 1D, ({both} - d) / cast({both} + d as double))"
-    return let("d0", retried, let("d", f"if(d0 < 0, {exact}, d0)", share))
+    return let("e", retried, let("d", f"if(e < 0, {exact}, e)", share))
 
 
 def printed(cells: str) -> str:
     """SQL: the cells as a string: for each its number of digests, exclusive or, check value; in order, empty ones included."""
-    blank = "struct(-1 as cell, 0 as n, 0L as key, 0L as chk)"
-    one = f"transform(sequence(0, {CELLS * TABLES - 1}), i -> {let('c', f'coalesce(try_element_at(filter({cells}, x -> x.cell = i), 1), {blank})', 'concat(lpad(hex(c.n), 8, 0), lpad(hex(c.key), 16, 0), lpad(hex(c.chk), 8, 0))')})"
+    blanks = f"transform(sequence(0, {CELLS * TABLES - 1}), i -> struct(i as cell, 0 as n, 0L as key, 0L as chk))"
+    one = f"transform({merged(f'concat({cells}, {blanks})', keep_empty=True)}, c -> concat(lpad(hex(c.n), 8, 0), lpad(hex(c.key), 16, 0), lpad(hex(c.chk), 8, 0)))"
     return f"base64(unhex(concat_ws('', {one})))"
 
 
