@@ -28,9 +28,14 @@ def digests(text: str) -> str:
     return f"array_distinct(transform(filter(transform({cut}, p -> trim(p)), p -> p <> ''), p -> xxhash64(p)))"
 
 
+def place(key: str, table: str, size: str) -> str:
+    """SQL: the cell of a digest in a table of a power of two cells: digests are hashes, so each table takes other bits of them."""
+    return f"({table} * {size} + cast(shiftrightunsigned({key}, 21 * {table}) & ({size} - 1) as int))"
+
+
 def cells_of(key: str, size: str, sign: str) -> str:
     """SQL: the entries of one digest, one for each table, as an array."""
-    one = [f"struct(cast({t} * {size} + pmod(xxhash64({key}, {t}), {size}) as int) as cell, cast({sign} as int) as n, {key} as key, xxhash64({key}, 77) & 4294967295L as chk)" for t in range(TABLES)]
+    one = [f"struct({place(key, str(t), size)} as cell, {sign} as n, {key} as key, xxhash64({key}, 77) & 4294967295L as chk)" for t in range(TABLES)]
     return f"array({', '.join(one)})"
 
 
@@ -61,8 +66,8 @@ def peeled(cells: str, size: str) -> str:
     Rounds take the tables in turn: a digest has one cell in a table, so none is taken twice.  A cell with one digest
     goes, and that digest is taken out of its cells in the other tables.  Three idle rounds in a row are the end.
     """
-    pure = f"(cast(floor(c.cell / {size}) as int) = i % {TABLES} and (c.n = 1 or c.n = -1) and (xxhash64(c.key, 77) & 4294967295L) = c.chk)"
-    others = f"transform(filter(sequence(0, {TABLES - 1}), t -> t <> i % {TABLES}), t -> struct(cast(t * {size} + pmod(xxhash64(c.key, t), {size}) as int) as cell, -c.n as n, c.key as key, c.chk as chk))"
+    pure = f"(c.cell div {size} = i % {TABLES} and (c.n = 1 or c.n = -1) and (xxhash64(c.key, 77) & 4294967295L) = c.chk)"
+    others = f"transform(filter(sequence(0, {TABLES - 1}), t -> t <> i % {TABLES}), t -> struct({place('c.key', 't', size)} as cell, -c.n as n, c.key as key, c.chk as chk))"
     left = merged(f"concat(filter(s.cells, c -> not {pure}), flatten(transform(p, c -> {others})))")
     step = let("p", f"filter(s.cells, c -> {pure})", f"if(size(p) = 0, struct(s.cells as cells, s.found as found, s.idle + 1 as idle), struct({left} as cells, s.found + size(p) as found, 0 as idle))")
     return f"""aggregate(sequence(1, {ROUNDS}), struct({cells} as cells, 0 as found, 0 as idle),
