@@ -243,7 +243,7 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
     """Encode every whole text and decode it again: doc_id, n_tokens, ids (array<int>, if with_ids), ids_sha256, decoded_sha256.
 
     Null and empty texts have no tokens (digests of nothing).  Rows are independent: repeated rows give repeated
-    results, an empty table an empty one, other columns are ignored.  Memory: the words of one slice of about 4 MB of
+    results, an empty table an empty one, other columns are ignored.  Memory: the words of one slice of about 1.5 million characters of
     text, or of one text if that is longer, and the bounded store of known words.
     """
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]

@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, vocab_path: str, *, pattern: str = PATTERN, id
 
     Null and empty texts count 0.  Rows are independent: repeated rows give repeated results, an empty table an empty
     one, other columns are ignored.  A very long pre-token costs time in proportion to its length.  Memory: the
-    pre-tokens of a slice of about 4 MB of text (or one longer text) and a bounded store of known counts.
+    pre-tokens of a slice of about 1.5 million characters of text (or one longer text) and a bounded store of known counts.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64())])
 
