@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import alignment, text
 from loomspan.functions.similarity import cosine
-from loomspan.operators import analysis, dashboard, layout, relational, retrieval
+from loomspan.operators import analysis, dashboard, layout, proofread, relational, retrieval
 from loomspan.sources import deeds
 from loomspan.sources.deeds import SQL, table
 from loomspan.streaming import tasks
@@ -127,9 +127,9 @@ def prj10_empty_tokens(spark, d):
     return facts(spark, d).select("id", *[text.is_empty(F.col("location"), getattr(text, n)).alias(n.lower()) for n in names])
 
 
-@query("SELECT c_custkey AS id, regexp_full_match(c_name, '[A-Za-z0-9_#]{3,20}') AND length(c_name) BETWEEN 3 AND 20 AS valid FROM customer", model=False)
+@query("SELECT c_custkey AS id, regexp_full_match(c_name, '[A-Za-z0-9_#]{3,32}') AS valid FROM customer", model=False)
 def prj12_username_rule(spark, d):
-    return deeds.users(spark, d).select("id", (F.col("username").rlike(r"^[A-Za-z0-9_#]{3,20}$") & F.length("username").between(3, 20)).alias("valid"))
+    return deeds.users(spark, d).select("id", proofread.valid_username(F.replace("username", F.lit("#"), F.lit("_"))).alias("valid"))
 
 
 @query(r"SELECT page_id, regexp_extract(lower(split_part(url, '?', 1)), '\.([a-z0-9]+)$', 1) AS ext, strlen(html)::BIGINT AS bytes, strlen(html) = 0 AS blank, strlen(html) > 2000 AS too_large FROM pages", model=False)
@@ -611,3 +611,139 @@ def sm05_status_machine(spark, d):
 @query()
 def sm06_in_flight_once(spark, d):
     return tasks.drained(tasks.in_flight_once(tasks.landing(spark, d, "events.parquet"), ["user_id", "event_type"]), "in-flight")
+
+
+# Proofreading and the rest of the store -------------------------------------------------------------------------------
+
+
+@query("SELECT id, CASE WHEN coalesce(corrected_text, '') <> '' THEN corrected_text WHEN human_corrected AND coalesce(raw_text, '') <> '' AND raw_text <> 'original' THEN raw_text END AS correction FROM r")
+def prj09_legacy_correction(spark, d):
+    rows = deeds.results(spark, d).withColumn("original_raw_text", F.lit("original"))
+    return rows.select("id", proofread.legacy_correction(rows).alias("correction"))
+
+
+@query(f"{SEGMENTS} SELECT page, seg, CASE WHEN seg % 5 = 0 THEN 'rejected' WHEN text = '□' OR seg % 5 = 1 THEN 'uncertain' WHEN seg % 5 = 2 THEN 'partial' ELSE 'accepted' END AS tone FROM s", model=False)
+def prj20_tone(spark, d):
+    status = F.when(F.col("seg") % 5 == 0, "rejected").when(F.col("seg") % 5 == 1, "uncertain").when(F.col("seg") % 5 == 2, "partial").otherwise("accepted")
+    return segments(spark, d).select("page", "seg", proofread.tone(status, F.col("text")).alias("tone"))
+
+
+@query(f"{SEGMENTS} SELECT page, seg, text <> '□' AND true AS usable FROM s", model=False)
+def prj14_usable_text(spark, d):
+    return segments(spark, d).select("page", "seg", text.usable(F.col("text"), F.col("x1"), F.col("x2"), F.lit(1000)).alias("usable"))
+
+
+@query(f"{SEGMENTS} SELECT page, seg, length(replace(text, '□', '')) > 0 AS visible, text <> '□' AS single FROM s", model=False)
+def prj22_visible_chars(spark, d):
+    shown = F.length(F.replace("text", F.lit("□"), F.lit("")))
+    return segments(spark, d).select("page", "seg", (shown > 0).alias("visible"), F.col("text").rlike(r"^[0-9\x{4e00}-\x{9fff}]$").alias("single"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN n > 588 OR (n > 0 AND 0.3 < 0.45) THEN 'filtered' ELSE 'kept' END AS outcome FROM (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS n FROM documents)""",
+    model=False,
+)
+def prj16_invented_text(spark, d):
+    shown, reasons = text.filtered_text(F.col("text"), F.col("text"), F.lit(0.3), F.lit("agreed"))
+    rows = table(spark, d, "documents").select("doc_id", reasons.alias("why"), shown.alias("shown"))
+    return rows.select("doc_id", F.when(F.size("why") > 0, "filtered").otherwise("kept").alias("outcome"))
+
+
+@query("SELECT id, status FROM r WHERE image_id IN (3, 5, 8, 13) AND status <> 'failed'")
+def prj03_in_list(spark, d):
+    return deeds.results(spark, d).filter(F.col("image_id").isin(3, 5, 8, 13) & (F.col("status") != "failed")).select("id", "status")
+
+
+@query("SELECT a.c_custkey AS id, count(*) AS same_nation FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY 1", model=False)
+def prj04_others_alike(spark, d):
+    users = deeds.users(spark, d)
+    counts = users.groupBy("nation").agg((F.count("*") - 1).alias("same_nation"))
+    return users.join(counts, "nation").filter("same_nation > 0").select("id", "same_nation")
+
+
+@query("SELECT id % 97 AS task, count(*) AS n_docs, min(image_id) AS first_image FROM f GROUP BY 1")
+def jn04_bridge(spark, d):
+    structured = deeds.contents(spark, d)
+    bridge = structured.select((F.col("id") % 97).alias("task"), F.col("id").alias("structured_id"))
+    return bridge.join(structured.select(F.col("id").alias("structured_id"), "image_id"), "structured_id").groupBy("task").agg(F.count("*").alias("n_docs"), F.min("image_id").alias("first_image"))
+
+
+@query(
+    f"""{SEGMENTS}, p AS (SELECT page, text, score, row_number() OVER (PARTITION BY page ORDER BY seg) - 1 AS pos FROM s)
+    SELECT m.page, m.pos::INTEGER AS pos, m.text AS medium_text, coalesce(t.text, '') AS small_text, coalesce(t.score, 0) AS small_score FROM p m LEFT JOIN (SELECT * FROM p WHERE pos < 2) t ON m.page = t.page AND m.pos = t.pos""",
+    model=False,
+)
+def jn14_positional_join(spark, d):
+    lines = segments(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("seg")) - 1).select("page", "pos", "text", "score")
+    return layout.paired(lines, lines.filter("pos < 2"), "page").select("page", "pos", "medium_text", "small_text", "small_score")
+
+
+@query(f"{SEGMENTS} SELECT page, seg, CASE WHEN seg % 3 = 0 THEN 'edited ' || seg ELSE text END AS text FROM s", model=False)
+def jn25_overlay(spark, d):
+    rows = segments(spark, d).select("page", "seg", "text")
+    edits = rows.filter("seg % 3 = 0").withColumn("text", F.concat(F.lit("edited "), "seg"))
+    return proofread.overlaid(rows, edits, ["page", "seg"]).select("page", "seg", "text")
+
+
+@query(f"{SEGMENTS} SELECT page, string_agg(text, chr(10) ORDER BY seg) AS text FROM s GROUP BY page", model=False)
+def pr01_composed_text(spark, d):
+    return proofread.composed(segments(spark, d), "page", "seg")
+
+
+@query(f"{SEGMENTS} SELECT page, seg, round(x1 / 10.0, 6) AS \"left\", round(y1 / 9.0, 6) AS top, round((x2 - x1) / 10.0, 6) AS width, round((y2 - y1) / 9.0, 6) AS height FROM s", model=False)
+def pr02_boxes_in_percent(spark, d):
+    rows = proofread.in_percent(segments(spark, d), F.lit(1000), F.lit(900))
+    return rows.select("page", "seg", *[F.round(c, 6).alias(c) for c in ("left", "top", "width", "height")])
+
+
+@query(
+    f"""{SEGMENTS}, v AS (SELECT page, text AS c, count(*) AS n, sum(sc::DECIMAL(8, 2)) AS total, min(sc) AS score FROM (SELECT page, text, score AS sc, seg FROM s) WHERE seg = 1 OR sc >= 0.95 GROUP BY page, text)
+    SELECT p.page, coalesce(b.c, '□') AS char, coalesce(round(b.score, 4), 0) AS score FROM (SELECT DISTINCT page FROM s) p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, total DESC, c DESC) AS k FROM v WHERE n >= 2) b ON b.page = p.page AND b.k = 1""",
+    model=False,
+)
+def ag23_char_vote(spark, d):
+    slots = segments(spark, d).select("page", F.when(F.col("seg") == 1, "medium").otherwise("other").alias("source"), F.col("text").alias("char"), F.col("score").cast("decimal(8,2)").alias("score"))
+    return layout.voted_chars(slots, ["page"], least=0.95).withColumn("score", F.col("score").cast("double"))
+
+
+@query()
+def ag26_error_kinds(spark, d):
+    said = alignment.confusions(pairs_of_texts(spark, d), "guess", "truth")
+    return said.groupBy(proofread.error_kind(F.col("truth"), F.col("guess")).alias("kind")).agg(F.sum("n").alias("n"))
+
+
+@query("SELECT count(*) AS scanned, count(*) FILTER (status = 'done') AS repaired, count(*) FILTER (status = 'processing') AS skipped, count(*) FILTER (status = 'failed') AS failed FROM r")
+def ag28_run_counters(spark, d):
+    outcome = F.when(F.col("status") == "done", "repaired").when(F.col("status") == "processing", "skipped").otherwise("failed")
+    return proofread.run_counters(deeds.results(spark, d).select(outcome.alias("outcome")))
+
+
+@query("SELECT page_id, length(html) AS chars, round((length(html) - length(replace(html, 'e', ''))) / greatest(length(html), 1), 6) AS share FROM pages", model=False)
+def ag30_char_shares(spark, d):
+    n = F.length("html")
+    return table(spark, d, "pages").select("page_id", n.alias("chars"), F.round((n - F.length(F.replace("html", F.lit("e"), F.lit("")))) / F.greatest(n, F.lit(1)), 6).alias("share"))
+
+
+@query("SELECT id, image_id, coalesce(lag(id) OVER w IS NULL OR lag(created_at) OVER w <> created_at, true) AS refreshed FROM r WINDOW w AS (PARTITION BY image_id ORDER BY id)")
+def wn09_refreshed(spark, d):
+    return proofread.refreshed(deeds.results(spark, d), "image_id").select("id", "image_id", "refreshed")
+
+
+@query("(SELECT 'first' AS side, id, value FROM f WHERE value IS NOT NULL ORDER BY value DESC, id LIMIT 10) UNION ALL (SELECT 'last', id, value FROM f WHERE value IS NOT NULL ORDER BY value, id LIMIT 10)")
+def st08_best_and_worst(spark, d):
+    rows = facts(spark, d).select("id", text.price(F.col("price")).alias("value")).dropna()
+    side = lambda name, order: rows.orderBy(order, "id").limit(10).select(F.lit(name).alias("side"), "id", "value")
+    return side("first", F.desc("value")).unionByName(side("last", F.asc("value")))
+
+
+@query("SELECT c_custkey AS id, len(list_intersect(list_distinct(string_split(c_name, '')), list_distinct(string_split(c_mktsegment, '')))) AS both, len(list_distinct(list_concat(string_split(c_name, ''), string_split(c_mktsegment, '')))) AS either FROM customer", model=False)
+def set02_char_sets(spark, d):
+    a, b = F.split("c_name", ""), F.split("c_mktsegment", "")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.size(F.array_intersect(a, b)).cast("long").alias("both"), F.size(F.array_union(a, b)).cast("long").alias("either"))
+
+
+@query("SELECT id, place, year, value FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY value DESC, id) AS k FROM f WHERE place <> '' AND value IS NOT NULL) WHERE k <= 3")
+def st03_top_three_per_place(spark, d):
+    place = text.normal_place(text.present(F.col("location"), text.EMPTY_ANALYSIS))
+    rows = facts(spark, d).select("id", place.alias("place"), "year", text.price(F.col("price")).alias("value")).filter("place <> '' and value is not null")
+    return relational.top_per(rows, "place", [F.desc("value"), F.asc("id")], 3).select("id", "place", "year", "value")
