@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from loomspan.llm.shared import batch_of, doc_columns, frequent, map_arrow, piec
 WORDS, LEAST = 5, 75
 #: A shingle in so many documents of one block, and of all blocks, is on a long list; at most LONG_MOST of these are told apart.
 LONG_BLOCK, LONG_ALL, LONG_MOST = 3, 24, 400_000
-BLOCK_SHINGLES = 3_000_000
-KEEP_WORDS = 400_000
+BLOCK_SHINGLES = 2_000_000
+KEEP_WORDS = 250_000
 #: Ids of documents to verify that are sent to all tasks at most (8 bytes each).
 WANTED_MOST = 2_000_000
 
@@ -86,8 +87,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """A set's shingles as bits, about one for each: the least power of two, 64 at least."""
-    size = max(64, 1 << max(0, len(own) - 1).bit_length())
+    """A set's shingles as bits, four for each at least: a power of two, 64 at least."""
+    size = max(64, 1 << max(0, 4 * len(own) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(own >> np.uint64(11)) & np.uint64(size - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -188,7 +189,7 @@ def shingle_sets(rows: DataFrame, long: np.ndarray) -> DataFrame:
 
 
 def merged_lists(sets: DataFrame, buckets: int) -> DataFrame:
-    """(h, class) on short lists with two classes at least, and on long lists."""
+    """(h, class, is_long) on short lists with two classes at least, and on long lists."""
     packed = np.dtype([("h", "<u8"), ("c", "<i8")])
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
     out = pa.schema([("h", pa.int64()), ("class", pa.int64())])
@@ -229,7 +230,7 @@ def merged_lists(sets: DataFrame, buckets: int) -> DataFrame:
     short = sets.select("class", "short").filter("length(short) > 0").mapInArrow(pack, "bucket int, block binary")
     short = short.repartition(buckets, "bucket").mapInArrow(meet, "h long, class long")
     far = sets.select("class", "long").filter("length(long) > 0").mapInArrow(spread, "h long, class long")
-    return short.unionByName(far.distinct())
+    return short.withColumn("is_long", F.lit(False)).unionByName(far.distinct().withColumn("is_long", F.lit(True)))
 
 
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -293,35 +294,46 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components on a list (h, class, n, label, far): sizes and distances to the list's first document must allow a link."""
+    """Pairs of different components on a list (h, class, n, most, label, far) that could link; rows with bits bring the bitmap of a class.
+
+    Sizes, what each shares with any other at most, and distances to the list's first document must allow it; then bitmaps.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return
-    h, c, n, label, far = (table.column(i).to_numpy() for i in range(5))
+    with_bits = table.filter(pc.is_valid(table.column(6)))
+    bits = dict(zip(with_bits.column(1).to_pylist(), with_bits.column(6).to_pylist(), strict=True))
+    table = table.filter(pc.is_null(table.column(6)))
+    h, c, n, most, label, far = (table.column(i).to_numpy() for i in range(6))
     order = np.lexsort((n, h))
-    h, c, n, label, far = (x[order] for x in (h, c, n, label, far))
+    h, c, n, most, label, far = (x[order] for x in (h, c, n, most, label, far))
     open_rows, held, size = np.arange(len(h) - 1), [], 0
     step = 0
+
+    def linkable() -> pa.RecordBatch:
+        found = np.concatenate(held)
+        low, high = np.minimum(c[found[:, 0]], c[found[:, 1]]), np.maximum(c[found[:, 0]], c[found[:, 1]])
+        once = np.unique(np.stack([low, high], 1), axis=0, return_index=True)[1]
+        ok = [i for i in once.tolist() if may_link(bits[c[found[i, 0]]], int(n[found[i, 0]]), bits[c[found[i, 1]]], int(n[found[i, 1]]))]
+        return batch_of(schema, low[ok], high[ok])
+
     while len(open_rows):  # each row and the one `step` further, as long as list and sizes allow
         step += 1
         open_rows = open_rows[open_rows + step < len(h)]
         other = open_rows + step
-        goes_on = (h[open_rows] == h[other]) & (n[other] * LEAST <= n[open_rows] * 100)
+        # n_i + n_j - shared is the union: 75 (n_i + n_j) <= 175 shared, and shared <= most
+        goes_on = (h[open_rows] == h[other]) & (n[other] * LEAST <= (100 + LEAST) * most[open_rows] - LEAST * n[open_rows])
         open_rows, other = open_rows[goes_on], other[goes_on]
         far_off = np.abs(far[open_rows] - far[other]) > 1 - LEAST / 100 + 1e-9  # false where a distance is unknown
-        ok = (label[open_rows] != label[other]) & ~far_off
-        x, y = c[open_rows[ok]], c[other[ok]]
-        held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        size += len(x)
-        if size > 2_000_000:
-            held = [np.unique(np.concatenate(held), axis=0)]
-            if (size := len(held[0])) > 1_000_000:
-                yield batch_of(schema, held[0][:, 0], held[0][:, 1])
-                held, size = [], 0
+        ok = (label[open_rows] != label[other]) & ~far_off & (LEAST * (n[open_rows] + n[other]) <= (100 + LEAST) * most[other])
+        held.append(np.stack([open_rows[ok], other[ok]], 1))
+        size += int(ok.sum())
+        if size > 500_000:
+            yield linkable()
+            held, size = [], 0
     if size:
-        pairs = np.unique(np.concatenate(held), axis=0)
-        yield batch_of(schema, pairs[:, 0], pairs[:, 1])
+        yield linkable()
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,12 +346,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = doc_columns(docs, id_col=id_col, text_col=text_col)
     spark = docs.sparkSession
     sets = written(shingle_sets(rows, long_lists(rows)), "shingles")
-    classes = written(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+    classes = written(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), (F.max(F.length("short")) / 8).cast("long").alias("n_short")), "classes")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = written(merged_lists(sets, buckets), "lists")
 
     first = lists.groupBy("h").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last").select("h", "first")
-    sizes = classes.select("class", "n")
+    # a shingle on a short list of its own is in no other document: what remains is all that a document can share
+    shared = lists.filter("not is_long").groupBy("class").agg(F.count("*").alias("met"))
+    sizes = classes.join(shared, "class", "left").select("class", "n", (F.col("n") - F.col("n_short") + F.coalesce("met", F.lit(0))).alias("most"))
     listed = written(lists.join(first, "h").join(sizes, "class"), "listed")
     stars = listed.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     seen = written(verified(written(possible(stars, classes), "pairs"), rows, classes), "verified")
@@ -351,8 +365,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     several = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
     far = seen.select(F.col("a").alias("first"), F.col("b").alias("class"), (1 - F.col("shared") / F.col("either")).alias("far"))
     rest = marked.join(several, "h", "left_semi").filter("class <> first").join(far, ["first", "class"], "left")
-    rest = rest.select("h", "class", "n", "label", F.coalesce("far", F.lit(float("nan"))).alias("far"))
-    pairs = rest.repartition("h").mapInArrow(_meetings, "a long, b long").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    # lists of one first document meet in a few tasks, so that a bitmap is sent to each of these once
+    rest = written(rest.select("first", F.pmod("h", F.lit(4)).alias("part"), "h", "class", "n", "most", "label", F.coalesce("far", F.lit(float("nan"))).alias("far")), "rest")
+    bitmaps = rest.select("first", "part", "class").distinct().join(classes.select("class", "bits"), "class")
+    rest = rest.withColumn("bits", F.lit(None).cast("binary")).unionByName(bitmaps, allowMissingColumns=True).repartition("first", "part")
+    rest = rest.select("h", "class", "n", "most", "label", "far", "bits")
+    pairs = rest.mapInArrow(_meetings, "a long, b long").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
     pairs = written(possible(pairs, classes), "pairs")
     if not pairs.isEmpty():
         more = written(verified(pairs, rows, classes).filter(linked).select("a", "b"), "verified")
