@@ -112,8 +112,11 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return df.withColumn("fingerprint", F.expr(printed("cells")))
 
 
-def with_next(rows: DataFrame, *, each: int = 2000) -> DataFrame:
-    """(doc_id, text) with `following`: the text of the next row by descending doc_id (of equal ids by text); after the last comes the first.
+def with_next(rows: DataFrame, derived: dict[str, str] | None = None, *, each: int = 2000) -> DataFrame:
+    """(doc_id, text) with `next_text`: the text of the next row by descending doc_id (of equal ids by text); after the last comes the first.
+
+    Columns `derived` from the text (name: SQL) are computed once a row, before it moves, and come with it: as they are
+    and, under next_..., those of the next row.
 
     Rows go to ranges of ids, cut at quantiles of all ids.  Each range also gets a copy of what follows it: the
     rows of the greatest id of the next lower range, and for the lowest those of the greatest of all.  So texts are
@@ -127,13 +130,16 @@ def with_next(rows: DataFrame, *, each: int = 2000) -> DataFrame:
     rows = rows.withColumn("part", F.expr(f"size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b < k))") if bounds else F.lit(0))
     tops = [(r.part, r.top) for r in rows.groupBy("part").agg(F.max("k").alias("top")).orderBy("part").collect()]
     if not tops:
-        return rows.select("doc_id", "text", F.lit(None).cast("string").alias("following"))
+        tops = [(0, -(2**63))]
     after = [(tops[i - 1][1], tops[i][0], 0) for i in range(1, len(tops))] + [(tops[-1][1], tops[0][0], 1)]
     heads = spark.createDataFrame(after, "k long, to long, wrap int")
     extra = rows.join(F.broadcast(heads), "k").select("doc_id", "text", "k", F.col("to").cast("int").alias("part"), F.lit(1).alias("extra"), "wrap")
     every = rows.select("doc_id", "text", "k", "part", F.lit(0).alias("extra"), F.lit(0).alias("wrap")).unionByName(extra)
+    for name, sql in (derived or {}).items():
+        every = every.withColumn(name, F.expr(sql))
+    own = ["text", *(derived or {})]
     order = Window.partitionBy("part").orderBy("wrap", F.desc("k"), "extra", "text")
-    return every.withColumn("following", F.lead("text").over(order)).filter("extra = 0").select("doc_id", "text", "following")
+    return every.withColumns({f"next_{c}": F.lead(c).over(order) for c in own}).filter("extra = 0").select("doc_id", *own, *[f"next_{c}" for c in own])
 
 
 def version_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,12 +150,12 @@ def version_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Likeness is the share of paragraph digests that both have, 1 for two texts without any.  Null texts are empty;
     the next text of an only row is its own.  An empty table gives an empty result; other columns are ignored.
     """
-    rows = with_next(doc_columns(docs, id_col=id_col, text_col=text_col))
-    half = "cast(floor(n_chars / 2) as int)"
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(following, 1, {half}))"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("text")).alias("own"), F.expr(digests("edited")).alias("ed"), F.expr(digests("following")).alias("nx"))
     size = str(CELLS)
-    rows = rows.withColumns({f"{c}_cells": F.expr(sketch(c, size)) for c in ("own", "ed", "nx")})
+    rows = with_next(doc_columns(docs, id_col=id_col, text_col=text_col), {"own": digests("text"), "own_cells": sketch("own", size)})
+    rows = rows.withColumnsRenamed({"next_own": "nx", "next_own_cells": "nx_cells"}).withColumn("n_chars", F.length("text").cast("long"))
+    half = "cast(floor(n_chars / 2) as int)"
+    rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(next_text, 1, {half}))"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "own_cells", "nx", "nx_cells", F.expr(digests("edited")).alias("ed"))
+    rows = rows.withColumn("ed_cells", F.expr(sketch("ed", size)))
     near = lambda c: F.expr(likeness("own", c, "own_cells", f"{c}_cells"))
     return rows.select("doc_id", "n_chars", "edited_sha256", F.expr(printed("own_cells")).alias("fingerprint"), F.expr(printed("ed_cells")).alias("edited_fingerprint"), near("ed").alias("near_edited"), near("nx").alias("near_next"))
