@@ -10,7 +10,8 @@ in one order shared by all documents.  The short lists of all documents are merg
 blocks; lists of one class of equal documents drop out there.  Documents on a list are compared to its first
 document, not to each other.  Linked ones form components, and what remains are lists on which several components
 meet: there, pairs of different components are compared, but for those that the distances to the first document
-exclude (Jaccard distance is a metric).  Before sets are probed, bitmaps exclude pairs that differ in too many shingles.  So every link between different components is found, and no group of near
+exclude (Jaccard distance is a metric), until they are known to be one.  Before sets move to be probed, bitmaps exclude
+pairs that differ in too many shingles.  So every link between different components is found, and no group of near
 copies is expanded into all of its pairs.
 """
 
@@ -293,31 +294,12 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame
     return both.select("a", "b", "left", "right").mapInArrow(probe, "a long, b long, shared long, either long")
 
 
-def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components on a list (h, class, n, most, label, far) that could link; rows with bits bring the bitmap of a class.
+def _compared(h: np.ndarray, n: np.ndarray, most: np.ndarray, label: np.ndarray, far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of lists (sorted by list and size) and others on the same list, of another component, that could link.
 
-    Sizes, what each shares with any other at most, and distances to the list's first document must allow it; then bitmaps.
+    What a document shares with any other at most, and distances to the list's first document, must allow it.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    with_bits = table.filter(pc.is_valid(table.column(6)))
-    bits = dict(zip(with_bits.column(1).to_pylist(), with_bits.column(6).to_pylist(), strict=True))
-    table = table.filter(pc.is_null(table.column(6)))
-    h, c, n, most, label, far = (table.column(i).to_numpy() for i in range(6))
-    order = np.lexsort((n, h))
-    h, c, n, most, label, far = (x[order] for x in (h, c, n, most, label, far))
-    open_rows, held, size = np.arange(len(h) - 1), [], 0
-    step = 0
-
-    def linkable() -> pa.RecordBatch:
-        found = np.concatenate(held)
-        low, high = np.minimum(c[found[:, 0]], c[found[:, 1]]), np.maximum(c[found[:, 0]], c[found[:, 1]])
-        once = np.unique(np.stack([low, high], 1), axis=0, return_index=True)[1]
-        ok = [i for i in once.tolist() if may_link(bits[c[found[i, 0]]], int(n[found[i, 0]]), bits[c[found[i, 1]]], int(n[found[i, 1]]))]
-        return batch_of(schema, low[ok], high[ok])
-
+    open_rows, step = np.arange(len(h) - 1), 0
     while len(open_rows):  # each row and the one `step` further, as long as list and sizes allow
         step += 1
         open_rows = open_rows[open_rows + step < len(h)]
@@ -327,13 +309,65 @@ def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_rows, other = open_rows[goes_on], other[goes_on]
         far_off = np.abs(far[open_rows] - far[other]) > 1 - LEAST / 100 + 1e-9  # false where a distance is unknown
         ok = (label[open_rows] != label[other]) & ~far_off & (LEAST * (n[open_rows] + n[other]) <= (100 + LEAST) * most[other])
-        held.append(np.stack([open_rows[ok], other[ok]], 1))
-        size += int(ok.sum())
-        if size > 500_000:
-            yield linkable()
-            held, size = [], 0
-    if size:
-        yield linkable()
+        yield open_rows[ok], other[ok]
+
+
+def _table(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
+    batches = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(batches) if batches else None
+
+
+def _viable(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, n, most, label, far, ...) of whole lists that could link to another row of theirs."""
+    if (table := _table(batches)) is None:
+        return
+    h, n, most, label, far = (table.column(i).to_numpy() for i in range(5))
+    order = np.lexsort((n, h))
+    found = np.zeros(len(h), bool)
+    for x, y in _compared(*(c[order] for c in (h, n, most, label, far))):
+        found[x] = found[y] = True
+    yield from table.take(pa.array(order[found])).to_batches(max_chunksize=100_000)
+
+
+def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between components on lists (h, n, most, label, far, class, own); rows with own bring the set of a class.
+
+    Sets are probed for each pair that could link, until its components are known to be one: so a task returns fewer
+    links than it has components.
+    """
+    if (table := _table(batches)) is None:
+        return
+    with_sets = table.filter(pc.is_valid(table.column(6)))
+    sets = {c: np.frombuffer(x, np.uint64) for c, x in zip(with_sets.column(5).to_pylist(), with_sets.column(6).to_pylist(), strict=True)}
+    table = table.filter(pc.is_null(table.column(6)))
+    h, n, most, label, far, c = (table.column(i).to_numpy() for i in range(6))
+    order = np.lexsort((n, h))
+    h, n, most, label, far, c = (x[order] for x in (h, n, most, label, far, c))
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := joined.get(x, x)) != x:
+            joined[x] = joined.get(up, up)
+            x = up
+        return x
+
+    seen: set[tuple[int, int]] = set()
+    links: list[tuple[int, int]] = []
+    for x, y in _compared(h, n, most, label, far):
+        for i, k in zip(x.tolist(), y.tolist(), strict=True):
+            pair = (min(c[i], c[k]), max(c[i], c[k]))
+            a, b = root(int(label[i])), root(int(label[k]))
+            if a == b or pair in seen:
+                continue
+            seen.add(pair)
+            shared = overlap(sets[c[i]], sets[c[k]])
+            if 100 * shared >= LEAST * (n[i] + n[k] - shared):
+                joined[max(a, b)] = min(a, b)
+                links.append(pair)
+        if len(seen) > 2_000_000:
+            seen.clear()
+    if links:
+        yield batch_of(pa.schema([("a", pa.int64()), ("b", pa.int64())]), *zip(*links, strict=True))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,7 +389,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared = lists.filter("not is_long").groupBy("class").agg(F.count("*").alias("met"))
     sizes = classes.join(shared, "class", "left").select("class", "n", (F.col("n") - F.col("n_short") + F.coalesce("met", F.lit(0))).alias("most"))
     listed = written(lists.join(first, "h").join(sizes, "class"), "listed")
-    stars = listed.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
+    # 75 (n_a + n_b) <= 175 shared, and shared is at most what either shares with any other
+    fits = f"{LEAST} * (n_a + n) <= {100 + LEAST} * least(most_a, most)"
+    stars = listed.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"), "n", "most").distinct()
+    stars = stars.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a")), "a").filter(fits).select("a", "b")
     seen = written(verified(written(possible(stars, classes), "pairs"), rows, classes), "verified")
     linked = F.col("shared") * 100 >= F.col("either") * LEAST
     links = seen.filter(linked).select("a", "b")
@@ -365,15 +402,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     several = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
     far = seen.select(F.col("a").alias("first"), F.col("b").alias("class"), (1 - F.col("shared") / F.col("either")).alias("far"))
     rest = marked.join(several, "h", "left_semi").filter("class <> first").join(far, ["first", "class"], "left")
-    # lists of one first document meet in a few tasks, so that a bitmap is sent to each of these once
-    rest = written(rest.select("first", F.pmod("h", F.lit(4)).alias("part"), "h", "class", "n", "most", "label", F.coalesce("far", F.lit(float("nan"))).alias("far")), "rest")
-    bitmaps = rest.select("first", "part", "class").distinct().join(classes.select("class", "bits"), "class")
-    rest = rest.withColumn("bits", F.lit(None).cast("binary")).unionByName(bitmaps, allowMissingColumns=True).repartition("first", "part")
-    rest = rest.select("h", "class", "n", "most", "label", "far", "bits")
-    pairs = rest.mapInArrow(_meetings, "a long, b long").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = written(possible(pairs, classes), "pairs")
-    if not pairs.isEmpty():
-        more = written(verified(pairs, rows, classes).filter(linked).select("a", "b"), "verified")
+    rest = rest.select("h", "n", "most", "label", F.coalesce("far", F.lit(float("nan"))).alias("far"), "class", "first")
+    rest = written(rest.repartition("h").mapInArrow(_viable, rest.schema), "rest")
+    if not rest.isEmpty():
+        # lists of one first document meet in a few tasks, so that a set is sent to each of these once
+        wanted = written(rest.select("class").distinct().join(classes, "class").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+        own = written(sets_of(wanted, rows).dropDuplicates(["class"]), "sets")
+        rest = rest.withColumn("part", F.pmod("h", F.lit(4)))
+        sent = rest.select("first", "part", "class").distinct().join(own, "class")
+        both = rest.withColumn("own", F.lit(None).cast("binary")).unionByName(sent, allowMissingColumns=True).repartition("first", "part")
+        more = written(both.select("h", "n", "most", "label", "far", "class", "own").mapInArrow(_meetings, "a long, b long").distinct(), "meetings")
         if not more.isEmpty():
             labels = components(links.unionByName(more)).withColumnRenamed("id", "class")
     joined = written(classes.join(labels, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label")), "classes")
