@@ -326,6 +326,8 @@ def _viable(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = np.zeros(len(h), bool)
     for x, y in _compared(*(c[order] for c in (h, n, most, label, far))):
         found[x] = found[y] = True
+        if found.all():
+            break
     yield from table.take(pa.array(order[found])).to_batches(max_chunksize=100_000)
 
 
@@ -384,11 +386,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = written(merged_lists(sets, buckets), "lists")
 
-    first = lists.groupBy("h").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last").select("h", "first")
     # a shingle on a short list of its own is in no other document: what remains is all that a document can share
     shared = lists.filter("not is_long").groupBy("class").agg(F.count("*").alias("met"))
     sizes = classes.join(shared, "class", "left").select("class", "n", (F.col("n") - F.col("n_short") + F.coalesce("met", F.lit(0))).alias("most"))
-    listed = written(lists.join(first, "h").join(sizes, "class"), "listed")
+    # rows that could link to none on their list go before anything else is done with the lists
+    every = lists.join(sizes, "class").select("h", "n", "most", F.col("class").alias("label"), F.lit(float("nan")).alias("far"), "class")
+    listed = written(every.repartition("h").mapInArrow(_viable, every.schema).select("h", "class", "n", "most"), "viable")
+    first = listed.groupBy("h").agg(F.min("class").alias("first"))
+    listed = written(listed.join(first, "h"), "listed")
     # 75 (n_a + n_b) <= 175 shared, and shared is at most what either shares with any other
     fits = f"{LEAST} * (n_a + n) <= {100 + LEAST} * least(most_a, most)"
     stars = listed.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"), "n", "most").distinct()
