@@ -35,14 +35,14 @@ def place(key: str, table: str, size: str) -> str:
 
 def cells_of(key: str, size: str, sign: str) -> str:
     """SQL: the entries of one digest, one for each table, as an array."""
-    one = [f"struct({place(key, str(t), size)} as cell, {sign} as n, {key} as key, xxhash64({key}, 77) & 4294967295L as chk)" for t in range(TABLES)]
+    one = [f"struct({place(key, str(t), size)} as cell, {sign} as n, {key} as key, xxhash64({key}, 77) as chk)" for t in range(TABLES)]
     return f"array({', '.join(one)})"
 
 
-def merged(entries: str, *, keep_empty: bool = False) -> str:
-    """SQL: entries summed by cell; empty cells are left out (or kept).  Sorted entries are folded once from left to right."""
+def merged(entries: str) -> str:
+    """SQL: entries summed by cell; empty cells are left out.  Sorted entries are folded once from left to right."""
     start = f"struct(cast(array() as array<{CELL}>) as done, struct(-1 as cell, 0 as n, 0L as key, 0L as chk) as now)"
-    filled = "acc.now.cell >= 0" if keep_empty else "(acc.now.n <> 0 or acc.now.key <> 0 or acc.now.chk <> 0)"
+    filled = "(acc.now.n <> 0 or acc.now.key <> 0 or acc.now.chk <> 0)"
     done = f"if({filled}, concat(acc.done, array(acc.now)), acc.done)"
     return f"""aggregate(sort_array({entries}), {start},
         (acc, e) -> if(acc.now.cell = e.cell,
@@ -66,7 +66,7 @@ def peeled(cells: str, size: str) -> str:
     Rounds take the tables in turn: a digest has one cell in a table, so none is taken twice.  A cell with one digest
     goes, and that digest is taken out of its cells in the other tables.  Three idle rounds in a row are the end.
     """
-    pure = f"(c.cell div {size} = i % {TABLES} and (c.n = 1 or c.n = -1) and (xxhash64(c.key, 77) & 4294967295L) = c.chk)"
+    pure = f"(c.cell div {size} = i % {TABLES} and (c.n = 1 or c.n = -1) and xxhash64(c.key, 77) = c.chk)"
     others = f"transform(filter(sequence(0, {TABLES - 1}), t -> t <> i % {TABLES}), t -> struct({place('c.key', 't', size)} as cell, -c.n as n, c.key as key, c.chk as chk))"
     left = merged(f"concat(filter(s.cells, c -> not {pure}), flatten(transform(p, c -> {others})))")
     step = let("p", f"filter(s.cells, c -> {pure})", f"if(size(p) = 0, struct(s.cells as cells, s.found as found, s.idle + 1 as idle), struct({left} as cells, s.found + size(p) as found, 0 as idle))")
@@ -96,9 +96,8 @@ def likeness(a_keys: str, b_keys: str, a_cells: str, b_cells: str) -> str:
 
 
 def printed(cells: str) -> str:
-    """SQL: the cells as a string: for each its number of digests, exclusive or, check value; in order, empty ones included."""
-    blanks = f"transform(sequence(0, {CELLS * TABLES - 1}), i -> struct(i as cell, 0 as n, 0L as key, 0L as chk))"
-    one = f"transform({merged(f'concat({cells}, {blanks})', keep_empty=True)}, c -> concat(lpad(hex(c.n), 8, 0), lpad(hex(c.key), 16, 0), lpad(hex(c.chk), 8, 0)))"
+    """SQL: the filled cells in order as a string: for each its place, number of digests, exclusive or and check value."""
+    one = f"transform({cells}, c -> concat(lpad(hex(c.cell), 2, 0), lpad(hex(c.n), 8, 0), lpad(hex(c.key), 16, 0), lpad(hex(c.chk & 4294967295L), 8, 0)))"
     return f"base64(unhex(concat_ws('', {one})))"
 
 
