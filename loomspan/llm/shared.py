@@ -53,8 +53,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of a batch with about `most` bytes of text each, one row at least; no row is left out."""
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of a batch with about `most` characters of text each, one row at least; no row is left out."""
     sizes = [len(x) if x is not None else 0 for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
     start = total = 0
     for i, n in enumerate(sizes):
