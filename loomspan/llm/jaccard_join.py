@@ -37,6 +37,8 @@ BLOCK_SHINGLES = 2_000_000
 KEEP_WORDS = 250_000
 #: Ids of documents to verify that are sent to all tasks at most (8 bytes each).
 WANTED_MOST = 2_000_000
+#: After every shingle, in the order of signed numbers.
+LAST = 2**63 - 1
 
 
 class WordHashes(dict):
@@ -71,6 +73,11 @@ def needed(n: int) -> int:
     return (LEAST * n + 99) // 100
 
 
+def signed(shingle: int) -> int:
+    """A shingle as a signed number, in the same order."""
+    return shingle - 2**63
+
+
 def same(sets: np.ndarray) -> int:
     """A 64-bit digest of a set, as a signed number: the class of documents with equal sets."""
     return int(np.frombuffer(xxhash.xxh3_64_digest(sets.tobytes()), ">i8")[0])
@@ -154,27 +161,32 @@ def in_order(own: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def shingle_sets(rows: DataFrame, long: np.ndarray) -> DataFrame:
-    """(doc_id, n, class, bits, short, long) of each document: bitmap, and shingles whose lists are merged, packed, by kind of list."""
+    """(doc_id, n, class, until, bits, short, long) of each document: bitmap, and shingles whose lists are merged, packed, by kind of list.
+
+    `until` is the last of the merged short ones, in the order of signed numbers, or LAST if all short ones are merged.
+    """
     held = rows.sparkSession.sparkContext.broadcast(long)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("bits", pa.binary()), ("short", pa.binary()), ("long", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("until", pa.int64()), ("bits", pa.binary()), ("short", pa.binary()), ("long", pa.binary())])
 
     def make():
         hashes, sent = WordHashes(), set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, keys, bits, short, far = [], [], [], [], []
+            n, keys, ends, bits, short, far = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingles(text, hashes)
                 key = same(own)
                 n.append(len(own))
                 keys.append(key if len(own) and doc_id is not None else None)
                 if key in sent or keys[-1] is None:  # one row of a class brings its lists
+                    ends.append(None)
                     for column in (bits, short, far):
                         column.append(b"")
                     continue
                 sent.add(key)
                 ordered, border = in_order(own, held.value)
                 merged = ordered[: len(own) - needed(len(own)) + 1]
+                ends.append(LAST if border <= len(merged) else signed(int(merged[-1])))
                 bits.append(bitmap(own))
                 short.append(merged[:border].tobytes())
                 far.append(merged[border:].tobytes())
@@ -182,11 +194,11 @@ def shingle_sets(rows: DataFrame, long: np.ndarray) -> DataFrame:
                 hashes.clear()
             if len(sent) > KEEP_WORDS:
                 sent.clear()
-            return batch_of(schema, batch.column(0), n, keys, bits, short, far)
+            return batch_of(schema, batch.column(0), n, keys, ends, bits, short, far)
 
         return step
 
-    return map_arrow(rows, make, "doc_id long, n long, class long, bits binary, short binary, long binary")
+    return map_arrow(rows, make, "doc_id long, n long, class long, until long, bits binary, short binary, long binary")
 
 
 def merged_lists(sets: DataFrame, buckets: int) -> DataFrame:
@@ -294,22 +306,34 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame
     return both.select("a", "b", "left", "right").mapInArrow(probe, "a long, b long, shared long, either long")
 
 
-def _compared(h: np.ndarray, n: np.ndarray, most: np.ndarray, label: np.ndarray, far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _compared(h: np.ndarray, n: np.ndarray, most: np.ndarray, until: np.ndarray, label: np.ndarray, far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of lists (sorted by list and size) and others on the same list, of another component, that could link.
 
-    What a document shares with any other at most, and distances to the list's first document, must allow it.
+    Sizes, what the one whose merged shingles end first can share (`most`), and distances to the list's first document
+    must allow it.  A row looks only at sizes that its own `most` allows, and is the one that ends first.
     """
-    open_rows, step = np.arange(len(h) - 1), 0
-    while len(open_rows):  # each row and the one `step` further, as long as list and sizes allow
-        step += 1
-        open_rows = open_rows[open_rows + step < len(h)]
-        other = open_rows + step
-        # n_i + n_j - shared is the union: 75 (n_i + n_j) <= 175 shared, and shared <= most
-        goes_on = (h[open_rows] == h[other]) & (n[other] * LEAST <= (100 + LEAST) * most[open_rows] - LEAST * n[open_rows])
-        open_rows, other = open_rows[goes_on], other[goes_on]
-        far_off = np.abs(far[open_rows] - far[other]) > 1 - LEAST / 100 + 1e-9  # false where a distance is unknown
-        ok = (label[open_rows] != label[other]) & ~far_off & (LEAST * (n[open_rows] + n[other]) <= (100 + LEAST) * most[other])
+    if not len(h):
+        return
+    # n_i + n_k - shared is the union: 75 (n_i + n_k) <= 175 shared, and shared <= n_i, n_k, most of the first to end
+    low = -(-LEAST * n // 100)
+    high = np.minimum(100 * n // LEAST, ((100 + LEAST) * most - LEAST * n) // LEAST)
+    width = int(n.max()) + 2
+    at_list = np.cumsum(np.append(0, h[1:] != h[:-1])) * width
+    place = at_list + n
+    other = np.searchsorted(place, at_list + low)
+    stop = np.searchsorted(place, at_list + np.clip(high, -1, width - 1), "right")
+    open_rows = np.flatnonzero(other < stop)
+    other, stop = other[open_rows], stop[open_rows]
+    while len(open_rows):
+        before, both = until[open_rows] < until[other], until[open_rows] == until[other]
+        # of rows that end alike each must allow it, and the pair is taken once
+        ok = before | (both & (open_rows < other) & (n[open_rows] <= high[other]))
+        ok &= label[open_rows] != label[other]
+        ok &= ~(np.abs(far[open_rows] - far[other]) > 1 - LEAST / 100 + 1e-9)  # unknown distances exclude nothing
         yield open_rows[ok], other[ok]
+        other = other + 1
+        goes_on = other < stop
+        open_rows, other, stop = open_rows[goes_on], other[goes_on], stop[goes_on]
 
 
 def _table(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
@@ -317,14 +341,21 @@ def _table(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(batches) if batches else None
 
 
+def _columns(table: pa.Table) -> list[np.ndarray]:
+    """h, n, most, until, label and far of rows; without a label a class is its own, without a distance it is unknown."""
+    names = table.column_names
+    found = [table.column(c).to_numpy() for c in ("h", "n", "most", "until", "label" if "label" in names else "class")]
+    return [*found, table.column("far").to_numpy() if "far" in names else np.full(len(table), np.nan)]
+
+
 def _viable(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, n, most, label, far, ...) of whole lists that could link to another row of theirs."""
+    """Rows (h, n, most, until, class, ...) of whole lists that could link to another row of theirs."""
     if (table := _table(batches)) is None:
         return
-    h, n, most, label, far = (table.column(i).to_numpy() for i in range(5))
+    h, n, *others = _columns(table)
     order = np.lexsort((n, h))
     found = np.zeros(len(h), bool)
-    for x, y in _compared(*(c[order] for c in (h, n, most, label, far))):
+    for x, y in _compared(*(c[order] for c in (h, n, *others))):
         found[x] = found[y] = True
         if found.all():
             break
@@ -332,19 +363,19 @@ def _viable(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between components on lists (h, n, most, label, far, class, own); rows with own bring the set of a class.
+    """Links (a, b) between components on lists (h, n, most, until, label, far, class, own); rows with own bring the set of a class.
 
     Sets are probed for each pair that could link, until its components are known to be one: so a task returns fewer
     links than it has components.
     """
     if (table := _table(batches)) is None:
         return
-    with_sets = table.filter(pc.is_valid(table.column(6)))
-    sets = {c: np.frombuffer(x, np.uint64) for c, x in zip(with_sets.column(5).to_pylist(), with_sets.column(6).to_pylist(), strict=True)}
-    table = table.filter(pc.is_null(table.column(6)))
-    h, n, most, label, far, c = (table.column(i).to_numpy() for i in range(6))
+    with_sets = table.filter(pc.is_valid(table.column("own")))
+    sets = {c: np.frombuffer(x, np.uint64) for c, x in zip(with_sets.column("class").to_pylist(), with_sets.column("own").to_pylist(), strict=True)}
+    table = table.filter(pc.is_null(table.column("own")))
+    h, n, most, until, label, far = _columns(table)
     order = np.lexsort((n, h))
-    h, n, most, label, far, c = (x[order] for x in (h, n, most, label, far, c))
+    h, n, most, until, label, far, c = (x[order] for x in (h, n, most, until, label, far, table.column("class").to_numpy()))
     joined: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -355,7 +386,7 @@ def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     seen: set[tuple[int, int]] = set()
     links: list[tuple[int, int]] = []
-    for x, y in _compared(h, n, most, label, far):
+    for x, y in _compared(h, n, most, until, label, far):
         for i, k in zip(x.tolist(), y.tolist(), strict=True):
             pair = (min(c[i], c[k]), max(c[i], c[k]))
             a, b = root(int(label[i])), root(int(label[k]))
@@ -382,22 +413,24 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = doc_columns(docs, id_col=id_col, text_col=text_col)
     spark = docs.sparkSession
     sets = written(shingle_sets(rows, long_lists(rows)), "shingles")
-    classes = written(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), (F.max(F.length("short")) / 8).cast("long").alias("n_short")), "classes")
+    classes = written(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("until").alias("until"), F.max("bits").alias("bits"), (F.max(F.length("short")) / 8).cast("long").alias("n_short")), "classes")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = written(merged_lists(sets, buckets), "lists")
 
-    # a shingle on a short list of its own is in no other document: what remains is all that a document can share
+    # A shingle alone on its short list is in no other document whose merged shingles end at the same place or later.
+    # So of two documents, what remains of the one that ends first is all that they can share.
     shared = lists.filter("not is_long").groupBy("class").agg(F.count("*").alias("met"))
-    sizes = classes.join(shared, "class", "left").select("class", "n", (F.col("n") - F.col("n_short") + F.coalesce("met", F.lit(0))).alias("most"))
+    sizes = classes.join(shared, "class", "left").select("class", "n", (F.col("n") - F.col("n_short") + F.coalesce("met", F.lit(0))).alias("most"), "until")
     # rows that could link to none on their list go before anything else is done with the lists
-    every = lists.join(sizes, "class").select("h", "n", "most", F.col("class").alias("label"), F.lit(float("nan")).alias("far"), "class")
-    listed = written(every.repartition("h").mapInArrow(_viable, every.schema).select("h", "class", "n", "most"), "viable")
+    every = lists.join(sizes, "class").select("h", "n", "most", "until", "class")
+    listed = written(every.repartition("h").mapInArrow(_viable, every.schema), "viable")
     first = listed.groupBy("h").agg(F.min("class").alias("first"))
     listed = written(listed.join(first, "h"), "listed")
-    # 75 (n_a + n_b) <= 175 shared, and shared is at most what either shares with any other
-    fits = f"{LEAST} * (n_a + n) <= {100 + LEAST} * least(most_a, most)"
-    stars = listed.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"), "n", "most").distinct()
-    stars = stars.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a")), "a").filter(fits).select("a", "b")
+    # 75 (n_a + n_b) <= 175 shared
+    share = "CASE WHEN until_a < until THEN most_a WHEN until < until_a THEN most ELSE least(most_a, most) END"
+    fits = f"{LEAST} * (n_a + n) <= {100 + LEAST} * {share}"
+    stars = listed.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"), "n", "most", "until").distinct()
+    stars = stars.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("until").alias("until_a")), "a").filter(fits).select("a", "b")
     seen = written(verified(written(possible(stars, classes), "pairs"), rows, classes), "verified")
     linked = F.col("shared") * 100 >= F.col("either") * LEAST
     links = seen.filter(linked).select("a", "b")
@@ -407,7 +440,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     several = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
     far = seen.select(F.col("a").alias("first"), F.col("b").alias("class"), (1 - F.col("shared") / F.col("either")).alias("far"))
     rest = marked.join(several, "h", "left_semi").filter("class <> first").join(far, ["first", "class"], "left")
-    rest = rest.select("h", "n", "most", "label", F.coalesce("far", F.lit(float("nan"))).alias("far"), "class", "first")
+    rest = rest.select("h", "n", "most", "until", "label", F.coalesce("far", F.lit(float("nan"))).alias("far"), "class", "first")
     rest = written(rest.repartition("h").mapInArrow(_viable, rest.schema), "rest")
     if not rest.isEmpty():
         # lists of one first document meet in a few tasks, so that a set is sent to each of these once
@@ -416,7 +449,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         rest = rest.withColumn("part", F.pmod("h", F.lit(4)))
         sent = rest.select("first", "part", "class").distinct().join(own, "class")
         both = rest.withColumn("own", F.lit(None).cast("binary")).unionByName(sent, allowMissingColumns=True).repartition("first", "part")
-        more = written(both.select("h", "n", "most", "label", "far", "class", "own").mapInArrow(_meetings, "a long, b long").distinct(), "meetings")
+        more = written(both.select("h", "n", "most", "until", "label", "far", "class", "own").mapInArrow(_meetings, "a long, b long").distinct(), "meetings")
         if not more.isEmpty():
             labels = components(links.unionByName(more)).withColumnRenamed("id", "class")
     joined = written(classes.join(labels, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label")), "classes")

@@ -59,6 +59,26 @@ def test_components_against_all_pairs(spark, seed, monkeypatch):
     assert got == {doc: v for (doc, _), v in zip(rows, brute(rows), strict=True)}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_pairs_of_unequal_size(spark, seed, monkeypatch):
+    """Texts and the same with words appended, put in or cut off, at 0.75 to 0.85; nothing else links them."""
+    if seed == 4:
+        monkeypatch.setattr(jaccard_join, "LONG_BLOCK", 2)
+        monkeypatch.setattr(jaccard_join, "LONG_ALL", 4)
+    r = random.Random(seed)
+    rows = []
+    for i in range(300):
+        w = ["w%d" % r.randrange(10**6) for _ in range(r.randint(30, 120))] + ["and so on as usual of course".split(), []][i % 2]
+        n = len(w) - 4
+        more = ["w%d" % r.randrange(10**6) for _ in range(int(n / r.uniform(0.75, 0.85)) - n)]
+        other = [w + more, more + w, w[: len(w) // 2] + more[4:] + w[len(w) // 2 :], w[: len(w) - len(more) * 3 // 4]][i % 4]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    expected = brute(rows)
+    assert sum(c != doc for (doc, _), (_, c) in zip(rows, expected, strict=True)) > 200
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {doc: v for (doc, _), v in zip(rows, expected, strict=True)}
+
+
 def test_jaccard_rows(odd, none):
     rows = jaccard_join.jaccard_components(odd).collect()
     assert len(rows) == odd.count() and jaccard_join.jaccard_components(none).count() == 0
