@@ -26,6 +26,9 @@ from loomspan.llm.shared import frequent as most_frequent
 
 ALPHA = 0.1
 KEEP_COUNTS = 200_000
+#: Places that a task counts at a time; places for each part of the training contexts, up to so many parts; places of
+#: equal contexts that are one step of training.
+KEEP_PLACES, PART_PLACES, PARTS_MOST, TOGETHER = 2_000_000, 1_000_000, 256, 8
 
 
 def words_of(text: str) -> list[bytes]:
@@ -96,6 +99,88 @@ def sample_contexts(docs: DataFrame, classes: Classes, share: float) -> DataFram
     return map_arrow(docs.select("doc_id", "text"), make, "v int, u int, w int")
 
 
+def context_counts(docs: DataFrame, classes: Classes, parts: int) -> DataFrame:
+    """(part, keys, times) of all places of all texts: packed contexts (v size + u) size + w, sorted, and how often each occurs.
+
+    A part holds all contexts of its (v, u), so what it holds depends only on the texts.  Tasks count before the shuffle;
+    different contexts are size^3 at most, however many texts there are.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(classes)
+    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
+
+    def counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, at = np.unique(keys, return_inverse=True)
+        return found, np.bincount(at, times, len(found)).astype(np.int64)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table, size = held.value, held.value.table(), held.value.size
+        get, kept, places = own.words.get, [], 0
+
+        def packed() -> pa.RecordBatch:
+            keys, times = np.unique(np.concatenate(kept), return_counts=True)
+            part = (keys // size * 2654435761 >> 12) % parts
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            full = [i for i in range(parts) if cuts[i + 1] > cuts[i]]
+            block = lambda x: [x[order[cuts[i] : cuts[i + 1]]].tobytes() for i in full]
+            return batch_of(schema, full, block(keys), block(times.astype(np.int64)))
+
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                for text in piece.column(1).to_pylist():
+                    words = words_of(text)
+                    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                    cls = np.zeros(len(words) + 3, np.int64)  # two ends before the text, one after
+                    if len(table):
+                        cls[2:-1] = table[at]
+                    for i in np.flatnonzero(at < 0).tolist():
+                        cls[2 + i] = own.of_rare(words[i])
+                    kept.append((cls[:-2] * size + cls[1:-1]) * size + cls[2:])
+                    places += len(words) + 1
+                if places > KEEP_PLACES:
+                    yield packed()
+                    kept, places = [], 0
+        if kept:
+            yield packed()
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            for part, keys, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.setdefault(part, []).append((np.frombuffer(keys, np.int64), np.frombuffer(times, np.int64)))
+        for part in sorted(found):
+            keys, times = counted(*map(np.concatenate, zip(*found.pop(part), strict=True)))
+            yield batch_of(schema, [part], [keys.tobytes()], [times.tobytes()])
+
+    columns = "part int, keys binary, times binary"
+    return docs.select("doc_id", "text").mapInArrow(count, columns).repartition(parts, "part").mapInArrow(meet, columns)
+
+
+def refined(state: list[np.ndarray], contexts: DataFrame, size: int, unigram: np.ndarray) -> list[np.ndarray]:
+    """The state after training on all contexts: each part from the same start, weights averaged by places."""
+    held = contexts.sparkSession.sparkContext.broadcast((state, unigram))
+    schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("state", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, seen = held.value
+        for batch in batches:
+            for part, keys, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, times = np.frombuffer(keys, np.int64), np.frombuffer(times, np.int64)
+                steps = -(-times // TOGETHER)
+                each = np.repeat(keys, steps)
+                own = np.stack([each // size**2, each // size % size, each % size], 1)
+                found = fit(own, size, weights=np.repeat(times / steps, steps), start=start, unigram=seen, epochs=1, seed=7 + part)
+                yield batch_of(schema, [part], [int(times.sum())], [np.concatenate([np.ravel(x) for x in found]).astype(np.float32).tobytes()])
+
+    rows = contexts.mapInArrow(run, "part int, n long, state binary").toArrow().sort_by("part")  # PARTS_MOST rows at most
+    if not len(rows):
+        return state
+    n = np.array(rows.column("n").to_pylist(), float)
+    mean = sum(w * np.frombuffer(x.as_py(), np.float32).astype(float) for w, x in zip(n / n.sum(), rows.column("state"), strict=True))
+    cuts = np.cumsum([np.size(x) for x in state])[:-1]
+    return [x.reshape(np.shape(old)) for x, old in zip(np.split(mean, cuts), state, strict=True)]
+
+
 def class_of(classes: Classes, table: np.ndarray, word: bytes) -> int:
     i = classes.words.get(word)
     return classes.of_rare(word) if i is None else int(table[i])
@@ -116,25 +201,41 @@ class LogBilinear:
         return self.s1[u, w] + self.s2[v, w] - self.log_z[u, v]
 
 
-def train(contexts: np.ndarray, size: int, *, dims: int = 24, noise: int = 96, batch: int = 512, epochs: int = 2, rate: float = 0.08, seed: int = 7) -> LogBilinear:
-    """Noise-contrastive estimation with noise from the unigram distribution, shared within a batch; Adagrad."""
+def train(contexts: np.ndarray, size: int, **how) -> LogBilinear:
+    return LogBilinear.of(*fit(contexts, size, **how)[:5])
+
+
+def fit(contexts: np.ndarray, size: int, *, weights: np.ndarray | None = None, start: list[np.ndarray] | None = None, unigram: np.ndarray | None = None, dims: int = 24, noise: int = 96, batch: int = 512, epochs: int = 2, rate: float = 0.08, seed: int = 7) -> list[np.ndarray]:
+    """Noise-contrastive estimation with noise from the unigram distribution, shared within a batch; Adagrad.
+
+    A context counts as many times as its weight.  Returns the weights r, c1, c2, q, b and their sums of squares, from
+    which a later call may start.
+    """
     rng = np.random.default_rng(seed)
-    seen = np.bincount(contexts[:, 2], minlength=size) + 1.0 if len(contexts) else np.ones(size)
-    unigram = seen / seen.sum()
+    if unigram is None:
+        seen = np.bincount(contexts[:, 2], minlength=size) + 1.0 if len(contexts) else np.ones(size)
+        unigram = seen / seen.sum()
+    weights = np.ones(len(contexts)) if weights is None else weights
+    usual = weights.mean() if len(weights) else 1.0
     log_noise = np.log(unigram) + np.log(noise)
     r, q = rng.normal(0, 0.1, (size, dims)), rng.normal(0, 0.1, (size, dims))
     c1, c2, b = np.eye(dims), 0.5 * np.eye(dims), np.log(unigram)
     gr, gq, gc1, gc2, gb = np.full(size, 1e-2), np.full(size, 1e-2), 1e-2, 1e-2, np.full(size, 1e-2)
+    if start is not None:
+        r, c1, c2, q, b, gr, gq, gc1, gc2, gb = (np.array(x, float) for x in start)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for _ in range(epochs):
         order = rng.permutation(len(contexts))
         for at in range(0, len(order), batch):
             v, u, w = contexts[order[at : at + batch]].T
+            times = weights[order[at : at + batch]]
             other = rng.choice(size, noise, p=unigram)
             hidden = r[u] @ c1 + r[v] @ c2
             true = sigmoid((hidden * q[w]).sum(1) + b[w] - log_noise[w]) - 1  # derivative by the score of the data
+            true *= times
             false = sigmoid(hidden @ q[other].T + b[other] - log_noise[other])  # and of the noise
-            n = len(v)
+            false *= times[:, None]
+            n = len(v) * usual
             dh = (true[:, None] * q[w] + false @ q[other]) / n
             dq = np.zeros_like(q)
             np.add.at(dq, w, true[:, None] * hidden / n)
@@ -154,7 +255,7 @@ def train(contexts: np.ndarray, size: int, *, dims: int = 24, noise: int = 96, b
             b -= rate * db / np.sqrt(gb)
             c1 -= 0.1 * rate * d1 / np.sqrt(gc1)
             c2 -= 0.1 * rate * d2 / np.sqrt(gc2)
-    return LogBilinear.of(r, c1, c2, q, b)
+    return [r, c1, c2, q, b, gr, gq, gc1, gc2, gb]
 
 
 def lm_scores(docs: DataFrame, train_on: DataFrame, *, frequent: int = 60_000, own: int = 900, shared: int = 60, train_tokens: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,8 +269,8 @@ def lm_scores(docs: DataFrame, train_on: DataFrame, *, frequent: int = 60_000, o
 
     Counts cover all training documents and are as many as these have words.  The `frequent` first of them are sent to
     every task; of the other words each document sends one row (word, times) to where the word's count lies, so no
-    word that it shuffles is frequent.  Only the network's weights are fitted on a sample: about train_tokens places,
-    drawn alike from all training texts.
+    word that it shuffles is frequent.  The network's weights start from about train_tokens places drawn from all
+    training texts, and are then fitted on the contexts of all places of all training texts, counted by class.
     """
     spark = docs.sparkSession
     train_rows, rows = doc_columns(train_on, id_col=id_col, text_col=text_col), doc_columns(docs, id_col=id_col, text_col=text_col)
@@ -192,7 +293,14 @@ def lm_scores(docs: DataFrame, train_on: DataFrame, *, frequent: int = 60_000, o
     mass[1 + own :] = (held_by + ALPHA * (kinds + 1))[1 + own :]
     contexts = sample_contexts(train_rows, classes, min(1.0, train_tokens / max(1, total))).toPandas().to_numpy()
     contexts = contexts[np.lexsort(contexts.T)] if len(contexts) else contexts.reshape(0, 3)
-    model = train(contexts, classes.size)
+    seen = np.ones(classes.size)
+    seen[0] += ends
+    seen[1 : 1 + own] += [r.n for r in head[:own]]
+    seen[1 + own :] += held_by[1 + own :]
+    unigram = seen / seen.sum()
+    parts = min(PARTS_MOST, 1 + total // PART_PLACES)
+    every = written(context_counts(train_rows, classes, parts), "contexts")
+    model = LogBilinear.of(*refined(fit(contexts, classes.size, unigram=unigram), every, classes.size, unigram)[:5])
     held = spark.sparkContext.broadcast((classes, model, np.log10(mass)))
     end_log = float(np.log10(ends + ALPHA))
 

@@ -54,6 +54,33 @@ def test_lm_rows(odd, none):
     assert {r.n_known for r in lm.lm_scores(odd, none, train_tokens=10).collect()} == {0}
 
 
+def test_lm_learns_from_all_places(spark, monkeypatch):
+    """Hardly a place is drawn for the start; what follows what is learnt from all others, in several parts."""
+    r = random.Random(4)
+    words, rows = ["w%d" % i for i in range(20)], []
+    for i in range(120):
+        at, text = r.randrange(20), []
+        for _ in range(300):
+            at = (at * 3 + 1) % 20 if r.random() < 0.9 else r.randrange(20)
+            text.append(words[at])
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = lm.Classes({w.encode(): i for i, w in enumerate(words[:12])}, 9, 4, np.zeros(12))
+    expected = Counter()
+    for _, text in rows:
+        cls = [0, 0, *[1 + i if i < 9 else classes.of_rare(words[i].encode()) for i in (words.index(w) for w in text.split())], 0]
+        expected.update(zip(cls, cls[1:], cls[2:], strict=False))
+    got = Counter()
+    monkeypatch.setattr(lm, "KEEP_PLACES", 1000)
+    for row in lm.context_counts(docs, classes, 3).collect():
+        for k, n in zip(np.frombuffer(row.keys, np.int64).tolist(), np.frombuffer(row.times, np.int64).tolist(), strict=True):
+            got[k // 14**2, k // 14 % 14, k % 14] += n
+    assert got == expected
+    monkeypatch.setattr(lm, "PART_PLACES", 20_000)
+    scored = lm.lm_scores(docs, docs, own=20, train_tokens=5).collect()
+    assert sum(x.score - x.base_score for x in scored) / sum(x.n_tokens for x in scored) > 0.03
+
+
 def test_languages_held_out(documents, odd, none):
     model = lang_id.fit(documents.filter(fold(4) != 2))
     found = lang_id.identify(documents, model).join(documents.select("doc_id", "lang"), "doc_id").filter(fold(4) == 2).collect()
