@@ -10,14 +10,17 @@ in one order shared by all documents.  The short lists of all documents are merg
 blocks; lists of one class of equal documents drop out there.  Documents on a list are compared to its first
 document, not to each other.  Linked ones form components, and what remains are lists on which several components
 meet: there, pairs of different components are compared, but for those that the distances to the first document
-exclude (Jaccard distance is a metric), until they are known to be one.  Before sets move to be probed, bitmaps exclude
-pairs that differ in too many shingles.  So every link between different components is found, and no group of near
-copies is expanded into all of its pairs.
+exclude (Jaccard distance is a metric), until they are known to be one.  Before sets move to be probed, bitmaps move
+alone and exclude pairs that differ in too many shingles; only sets of rows that bitmaps leave follow.  So every link
+between different components is found, and no group of near copies is expanded into all of its pairs.
+
+Tasks read sorted rows and hold the lists of a few groups at a time, not their whole partition; lists of one first
+document are dealt to as many parts as their rows need.  Each saved table goes as soon as the next one replaces it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.components import components
-from loomspan.llm.shared import batch_of, doc_columns, frequent, map_arrow, pieces, written
+from loomspan.llm.shared import batch_of, doc_columns, frequent, map_arrow, pieces, release, written
 
 #: Words of a shingle; least similarity in hundredths.
 WORDS, LEAST = 5, 75
@@ -37,6 +40,10 @@ BLOCK_SHINGLES = 2_000_000
 KEEP_WORDS = 250_000
 #: Ids of documents to verify that are sent to all tasks at most (8 bytes each).
 WANTED_MOST = 2_000_000
+#: Rows of dropped documents that are sent to all tasks at most.
+DROPPED_MOST = 300_000
+#: Shingles of a bucket of short lists; rows that a task holds at a time, but for a longer list; rows of a part of a first document's lists.
+BUCKET_SHINGLES, HELD_ROWS, PART_ROWS = 1_000_000, 50_000, 1_500
 #: After every shingle, in the order of signed numbers.
 LAST = 2**63 - 1
 
@@ -146,8 +153,10 @@ def long_lists(rows: DataFrame) -> np.ndarray:
             yield counted()
 
     found = rows.select("doc_id", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = frequent(written(found.filter(F.col("n") >= LONG_ALL), "long-lists"), "n", "h", LONG_MOST).select("h").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64))
+    counted_all = written(found.filter(F.col("n") >= LONG_ALL), "long-lists")
+    top = np.sort(frequent(counted_all, "n", "h", LONG_MOST).select("h").toArrow().column(0).to_numpy().view(np.uint64))
+    release(counted_all)
+    return top
 
 
 def in_order(own: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, int]:
@@ -161,19 +170,21 @@ def in_order(own: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def shingle_sets(rows: DataFrame, long: np.ndarray) -> DataFrame:
-    """(doc_id, n, class, until, bits, short, long) of each document: bitmap, and shingles whose lists are merged, packed, by kind of list.
+    """(doc_id, mark, n, class, until, bits, short, long) of each document: bitmap, and shingles whose lists are merged, packed, by kind of list.
+
+    `mark` is a hash of the text, which with the id tells rows apart.
 
     `until` is the last of the merged short ones, in the order of signed numbers, or LAST if all short ones are merged.
     """
     held = rows.sparkSession.sparkContext.broadcast(long)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("until", pa.int64()), ("bits", pa.binary()), ("short", pa.binary()), ("long", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("until", pa.int64()), ("bits", pa.binary()), ("short", pa.binary()), ("long", pa.binary())])
 
     def make():
         hashes, sent = WordHashes(), set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, keys, ends, bits, short, far = [], [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
                 own = shingles(text, hashes)
                 key = same(own)
                 n.append(len(own))
@@ -194,11 +205,31 @@ def shingle_sets(rows: DataFrame, long: np.ndarray) -> DataFrame:
                 hashes.clear()
             if len(sent) > KEEP_WORDS:
                 sent.clear()
-            return batch_of(schema, batch.column(0), n, keys, ends, bits, short, far)
+            return batch_of(schema, batch.column("doc_id"), batch.column("mark"), n, keys, ends, bits, short, far)
 
         return step
 
-    return map_arrow(rows, make, "doc_id long, n long, class long, until long, bits binary, short binary, long binary")
+    return map_arrow(rows.withColumn("mark", F.xxhash64("text")), make, "doc_id long, mark long, n long, class long, until long, bits binary, short binary, long binary")
+
+
+def whole(batches: Iterable[pa.RecordBatch], *keys: str, most: int | None = None) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches sorted by keys: as many groups as make HELD_ROWS rows (or `most`), one at least."""
+    held: list[pa.RecordBatch] = []
+    rows, last, most = 0, None, most or HELD_ROWS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        starts = np.flatnonzero(np.append(last is None or any(c[0] != x for c, x in zip(columns, last, strict=True)), np.any([c[1:] != c[:-1] for c in columns], 0)))
+        last = [c[-1] for c in columns]
+        if len(starts) and rows + starts[-1] >= most:
+            if rows + starts[-1]:
+                yield pa.Table.from_batches([*held, batch.slice(0, starts[-1])])
+            held, rows, batch = [], 0, batch.slice(starts[-1])
+        held.append(batch)
+        rows += batch.num_rows
+    if rows:
+        yield pa.Table.from_batches(held)
 
 
 def merged_lists(sets: DataFrame, buckets: int) -> DataFrame:
@@ -211,7 +242,7 @@ def merged_lists(sets: DataFrame, buckets: int) -> DataFrame:
         raw = batch.column(batch.schema.get_field_index(column)).to_pylist()
         found = np.empty(sum(map(len, raw)) // 8, packed)
         found["h"] = np.frombuffer(b"".join(raw), "<u8")
-        found["c"] = np.repeat(np.array([c or 0 for c in batch.column(0).to_pylist()], np.int64), [len(x) // 8 for x in raw])
+        found["c"] = np.repeat(batch.column("class").to_numpy(), [len(x) // 8 for x in raw])
         return found
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,16 +255,15 @@ def merged_lists(sets: DataFrame, buckets: int) -> DataFrame:
             yield batch_of(schema, full, [own[cuts[b] : cuts[b + 1]].tobytes() for b in full])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.concatenate([np.zeros(0, packed), *[np.frombuffer(x, packed) for b in batches for x in b.column(1).to_pylist()]])
-        own = own[np.lexsort((own["c"], own["h"]))]
-        if len(own) < 2:
-            return
-        own = own[np.append(True, own[1:] != own[:-1])]
-        equal = own["h"][1:] == own["h"][:-1]
-        keep = np.append(equal, False) | np.append(False, equal)
-        for at in range(0, int(keep.sum()), 200_000):
-            part = own[keep][at : at + 200_000]
-            yield batch_of(out, part["h"].view(np.int64), part["c"])
+        for table in whole(batches, "bucket", most=1):
+            own = np.concatenate([np.frombuffer(x, packed) for x in table.column("block").to_pylist()])
+            own = own[np.lexsort((own["c"], own["h"]))]
+            own = own[np.append(True, own[1:] != own[:-1])]
+            equal = own["h"][1:] == own["h"][:-1]
+            own = own[np.append(equal, False) | np.append(False, equal)]
+            for at in range(0, len(own), 100_000):
+                part = own[at : at + 100_000]
+                yield batch_of(out, part["h"].view(np.int64), part["c"])
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +271,7 @@ def merged_lists(sets: DataFrame, buckets: int) -> DataFrame:
             yield batch_of(out, own["h"].view(np.int64), own["c"])
 
     short = sets.select("class", "short").filter("length(short) > 0").mapInArrow(pack, "bucket int, block binary")
-    short = short.repartition(buckets, "bucket").mapInArrow(meet, "h long, class long")
+    short = short.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "h long, class long")
     far = sets.select("class", "long").filter("length(long) > 0").mapInArrow(spread, "h long, class long")
     return short.withColumn("is_long", F.lit(False)).unionByName(far.distinct().withColumn("is_long", F.lit(True)))
 
@@ -292,7 +322,8 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = wanted.join(classes, "class").select(F.col("rep").alias("doc_id")).distinct()
     # ids may repeat with other texts: the class is taken from the text, and one row of each kept
-    own = written(sets_of(written(wanted, "wanted"), rows).dropDuplicates(["class"]), "sets")
+    wanted = written(wanted, "wanted")
+    own = written(sets_of(wanted, rows).dropDuplicates(["class"]), "sets", wanted)
     right = pairs.select("a", "b").join(own.select(F.col("class").alias("b"), F.col("own").alias("right")), "b")
     both = right.join(own.select(F.col("class").alias("a"), F.col("own").alias("left")), "a")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("either", pa.int64())])
@@ -303,7 +334,7 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame
             shared = [overlap(x, y) for x, y in zip(left, right, strict=True)]
             yield batch_of(out, batch.column(0), batch.column(1), shared, [len(x) + len(y) - s for x, y, s in zip(left, right, shared, strict=True)])
 
-    return both.select("a", "b", "left", "right").mapInArrow(probe, "a long, b long, shared long, either long")
+    return written(both.select("a", "b", "left", "right").mapInArrow(probe, "a long, b long, shared long, either long"), "verified", own)
 
 
 def _compared(h: np.ndarray, n: np.ndarray, most: np.ndarray, until: np.ndarray, label: np.ndarray, far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -336,11 +367,6 @@ def _compared(h: np.ndarray, n: np.ndarray, most: np.ndarray, until: np.ndarray,
         open_rows, other, stop = open_rows[goes_on], other[goes_on], stop[goes_on]
 
 
-def _table(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
-    batches = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(batches) if batches else None
-
-
 def _columns(table: pa.Table) -> list[np.ndarray]:
     """h, n, most, until, label and far of rows; without a label a class is its own, without a distance it is unknown."""
     names = table.column_names
@@ -349,17 +375,45 @@ def _columns(table: pa.Table) -> list[np.ndarray]:
 
 
 def _viable(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, n, most, until, class, ...) of whole lists that could link to another row of theirs."""
-    if (table := _table(batches)) is None:
-        return
-    h, n, *others = _columns(table)
-    order = np.lexsort((n, h))
-    found = np.zeros(len(h), bool)
-    for x, y in _compared(*(c[order] for c in (h, n, *others))):
-        found[x] = found[y] = True
-        if found.all():
-            break
-    yield from table.take(pa.array(order[found])).to_batches(max_chunksize=100_000)
+    """Rows (h, n, most, until, class, ...) of lists, sorted by list, that could link to another row of theirs."""
+    for table in whole(batches, "h"):
+        h, n, *others = _columns(table)
+        order = np.lexsort((n, h))
+        found = np.zeros(len(h), bool)
+        for x, y in _compared(*(c[order] for c in (h, n, *others))):
+            found[x] = found[y] = True
+            if found.all():
+                break
+        yield from table.take(pa.array(order[found])).to_batches(max_chunksize=100_000)
+
+
+def _groups(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Table, dict[int, bytes]]]:
+    """Of rows sorted by (first, part): those of lists, by list and size, and what rows with `column` bring for classes."""
+    for table in whole(batches, "first", "part"):
+        brings = pc.is_valid(table.column(column))
+        given = table.filter(brings)
+        held = dict(zip(given.column("class").to_pylist(), given.column(column).to_pylist(), strict=True))
+        rows = table.filter(pc.invert(brings)).drop_columns(column)
+        order = np.lexsort((rows.column("n").to_numpy(), rows.column("h").to_numpy()))
+        yield rows.take(pa.array(order)), held
+
+
+def _close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lists that could link to another component's row of theirs by bitmaps as well."""
+    for rows, bits in _groups(batches, "bits"):
+        n, c = rows.column("n").to_numpy(), rows.column("class").to_numpy()
+        found, known = np.zeros(len(n), bool), {}
+        for x, y in _compared(*_columns(rows)):
+            open_pairs = ~(found[x] & found[y])
+            for i, k in zip(x[open_pairs].tolist(), y[open_pairs].tolist(), strict=True):
+                pair = (min(c[i], c[k]), max(c[i], c[k]))
+                if (ok := known.get(pair)) is None:
+                    ok = known[pair] = may_link(bits[c[i]], int(n[i]), bits[c[k]], int(n[k]))
+                if ok:
+                    found[i] = found[k] = True
+            if len(known) > 1_000_000:
+                known.clear()
+        yield from rows.filter(pa.array(found)).to_batches(max_chunksize=100_000)
 
 
 def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,14 +422,6 @@ def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Sets are probed for each pair that could link, until its components are known to be one: so a task returns fewer
     links than it has components.
     """
-    if (table := _table(batches)) is None:
-        return
-    with_sets = table.filter(pc.is_valid(table.column("own")))
-    sets = {c: np.frombuffer(x, np.uint64) for c, x in zip(with_sets.column("class").to_pylist(), with_sets.column("own").to_pylist(), strict=True)}
-    table = table.filter(pc.is_null(table.column("own")))
-    h, n, most, until, label, far = _columns(table)
-    order = np.lexsort((n, h))
-    h, n, most, until, label, far, c = (x[order] for x in (h, n, most, until, label, far, table.column("class").to_numpy()))
     joined: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -384,23 +430,34 @@ def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up
         return x
 
-    seen: set[tuple[int, int]] = set()
-    links: list[tuple[int, int]] = []
-    for x, y in _compared(h, n, most, until, label, far):
-        for i, k in zip(x.tolist(), y.tolist(), strict=True):
-            pair = (min(c[i], c[k]), max(c[i], c[k]))
-            a, b = root(int(label[i])), root(int(label[k]))
-            if a == b or pair in seen:
-                continue
-            seen.add(pair)
-            shared = overlap(sets[c[i]], sets[c[k]])
-            if 100 * shared >= LEAST * (n[i] + n[k] - shared):
-                joined[max(a, b)] = min(a, b)
-                links.append(pair)
-        if len(seen) > 2_000_000:
-            seen.clear()
-    if links:
-        yield batch_of(pa.schema([("a", pa.int64()), ("b", pa.int64())]), *zip(*links, strict=True))
+    for rows, packed in _groups(batches, "own"):
+        sets = {c: np.frombuffer(x, np.uint64) for c, x in packed.items()}
+        h, n, most, until, label, far = _columns(rows)
+        c = rows.column("class").to_numpy()
+        seen: set[tuple[int, int]] = set()
+        links: list[tuple[int, int]] = []
+        for x, y in _compared(h, n, most, until, label, far):
+            for i, k in zip(x.tolist(), y.tolist(), strict=True):
+                pair = (min(c[i], c[k]), max(c[i], c[k]))
+                a, b = root(int(label[i])), root(int(label[k]))
+                if a == b or pair in seen:
+                    continue
+                seen.add(pair)
+                shared = overlap(sets[c[i]], sets[c[k]])
+                if 100 * shared >= LEAST * (n[i] + n[k] - shared):
+                    joined[max(a, b)] = min(a, b)
+                    links.append(pair)
+            if len(seen) > 1_000_000:
+                seen.clear()
+        if links:
+            yield batch_of(pa.schema([("a", pa.int64()), ("b", pa.int64())]), *zip(*links, strict=True))
+
+
+def _dealt(rows: DataFrame, brings: DataFrame, column: str, run: Callable, schema: str) -> DataFrame:
+    """run() over rows of lists and, for each class of a part, one row with its `column`: both sorted by (first, part)."""
+    sent = rows.select("first", "part", "class").distinct().join(brings.select("class", column), "class")
+    both = rows.withColumn(column, F.lit(None).cast("binary")).unionByName(sent, allowMissingColumns=True)
+    return both.repartition("first", "part").sortWithinPartitions("first", "part").mapInArrow(run, schema)
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,12 +467,19 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts of blanks have no shingles and stay alone, as do rows with a null id.  Repeated rows and copies share one component; rows are kept as
     they are, one result row each.  An empty table gives an empty result; other columns are ignored.
     """
-    rows = doc_columns(docs, id_col=id_col, text_col=text_col)
-    spark = docs.sparkSession
+    found = _labelled(doc_columns(docs, id_col=id_col, text_col=text_col))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """(doc_id, mark, n, label, component_id) of each row; label and component_id are null where nothing can be linked."""
+    spark = rows.sparkSession
     sets = written(shingle_sets(rows, long_lists(rows)), "shingles")
     classes = written(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("until").alias("until"), F.max("bits").alias("bits"), (F.max(F.length("short")) / 8).cast("long").alias("n_short")), "classes")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = written(merged_lists(sets, buckets), "lists")
+    own = written(sets.select("doc_id", "mark", "n", "class"), "rows")
+    packed = sets.agg(F.sum(F.length("short")).alias("bytes")).first().bytes or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packed // (8 * BUCKET_SHINGLES))
+    lists = written(merged_lists(sets, buckets), "lists", sets)
 
     # A shingle alone on its short list is in no other document whose merged shingles end at the same place or later.
     # So of two documents, what remains of the one that ends first is all that they can share.
@@ -423,15 +487,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sizes = classes.join(shared, "class", "left").select("class", "n", (F.col("n") - F.col("n_short") + F.coalesce("met", F.lit(0))).alias("most"), "until")
     # rows that could link to none on their list go before anything else is done with the lists
     every = lists.join(sizes, "class").select("h", "n", "most", "until", "class")
-    listed = written(every.repartition("h").mapInArrow(_viable, every.schema), "viable")
-    first = listed.groupBy("h").agg(F.min("class").alias("first"))
-    listed = written(listed.join(first, "h"), "listed")
+    viable = written(every.repartition("h").sortWithinPartitions("h").mapInArrow(_viable, every.schema), "viable")
+    first = viable.groupBy("h").agg(F.min("class").alias("first"))
+    listed = written(viable.join(first, "h"), "listed", viable)
     # 75 (n_a + n_b) <= 175 shared
     share = "CASE WHEN until_a < until THEN most_a WHEN until < until_a THEN most ELSE least(most_a, most) END"
     fits = f"{LEAST} * (n_a + n) <= {100 + LEAST} * {share}"
     stars = listed.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"), "n", "most", "until").distinct()
     stars = stars.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("until").alias("until_a")), "a").filter(fits).select("a", "b")
-    seen = written(verified(written(possible(stars, classes), "pairs"), rows, classes), "verified")
+    pairs = written(possible(stars, classes), "pairs", lists)
+    seen = verified(pairs, rows, classes)
     linked = F.col("shared") * 100 >= F.col("either") * LEAST
     links = seen.filter(linked).select("a", "b")
     labels = components(links).withColumnRenamed("id", "class")
@@ -441,36 +506,41 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     far = seen.select(F.col("a").alias("first"), F.col("b").alias("class"), (1 - F.col("shared") / F.col("either")).alias("far"))
     rest = marked.join(several, "h", "left_semi").filter("class <> first").join(far, ["first", "class"], "left")
     rest = rest.select("h", "n", "most", "until", "label", F.coalesce("far", F.lit(float("nan"))).alias("far"), "class", "first")
-    rest = written(rest.repartition("h").mapInArrow(_viable, rest.schema), "rest")
+    rest = written(rest.repartition("h").sortWithinPartitions("h").mapInArrow(_viable, rest.schema), "rest", pairs, listed)
     if not rest.isEmpty():
-        # lists of one first document meet in a few tasks, so that a set is sent to each of these once
-        wanted = written(rest.select("class").distinct().join(classes, "class").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-        own = written(sets_of(wanted, rows).dropDuplicates(["class"]), "sets")
-        rest = rest.withColumn("part", F.pmod("h", F.lit(4)))
-        sent = rest.select("first", "part", "class").distinct().join(own, "class")
-        both = rest.withColumn("own", F.lit(None).cast("binary")).unionByName(sent, allowMissingColumns=True).repartition("first", "part")
-        more = written(both.select("h", "n", "most", "until", "label", "far", "class", "own").mapInArrow(_meetings, "a long, b long").distinct(), "meetings")
+        # lists of one first document meet in as few parts as their rows need, so that few copies of a set are sent
+        parts = rest.groupBy("first").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+        dealt = rest.join(parts, "first").withColumn("part", F.pmod("h", "parts")).drop("parts")
+        close = written(_dealt(dealt, classes, "bits", _close, dealt.schema.simpleString()[7:-1]), "close", rest)
+        wanted = written(close.select("class").distinct().join(classes, "class").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+        brought = written(sets_of(wanted, rows).dropDuplicates(["class"]), "sets", wanted)
+        more = written(_dealt(close, brought, "own", _meetings, "a long, b long").distinct(), "meetings", close, brought)
         if not more.isEmpty():
             labels = components(links.unionByName(more)).withColumnRenamed("id", "class")
-    joined = written(classes.join(labels, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label")), "classes")
+    joined = written(classes.join(labels, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label")), "labelled", classes, seen)
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = joined.join(least, "label").select("class", "component_id")
-    own = sets.select("doc_id", "n", "class")
-    return own.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = joined.join(least, "label").select("class", "label", "component_id")
+    return own.join(named, "class", "left").select("doc_id", "mark", "n", "label", "component_id")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, but for those that jaccard_components() links to a smaller id.
+    """The rows of docs, with all columns, but for those that links join to another row that stays.
 
-    Of rows that repeat an id the first by text stays.  Rows without a word or with a null id are linked with nothing
-    and stay.
+    Of the rows that links join, the one of the smallest id stays (where ids repeat, the first by text).  Repeated rows
+    are copies.  Rows without a word or with a null id are linked with nothing and stay.
     """
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    found = written(_labelled(doc_columns(docs, id_col=id_col, text_col=text_col)).filter("label is not null").groupBy("label", "doc_id", "mark").agg(F.count("*").alias("rows")), "found")
+    chosen = found.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("chosen"))
+    state = written(found.join(chosen, "label").select("doc_id", "mark", "rows", (F.struct("doc_id", "mark") == F.col("chosen")).alias("stays")).filter("not stays or rows > 1"), "dropped", found)
+    gone, repeated = state.filter("not stays").select("doc_id", "mark"), state.filter("stays").select("doc_id", "mark")
     names = docs.columns
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    alone = F.col("id").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    linked = rows.filter(~alone).join(kept.select(F.col(id_col).alias("id")), "id", "left_semi")
-    first = linked.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("text"))).filter("n = 1")
-    every = first.select("row").unionByName(rows.filter(alone).select("row"))
-    return every.select(*[F.col("row").getField(c).alias(c) for c in names])
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
+    if gone.count() <= DROPPED_MOST:
+        gone = F.broadcast(gone)
+    rows = rows.join(gone, ["doc_id", "mark"], "left_anti")
+    if not repeated.isEmpty():  # of equal rows one stays; only these move
+        if repeated.count() <= DROPPED_MOST:
+            repeated = F.broadcast(repeated)
+        equal = rows.join(repeated, ["doc_id", "mark"], "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("mark"))).filter("k = 1")
+        rows = rows.join(repeated, ["doc_id", "mark"], "left_anti").unionByName(equal.drop("k"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -11,7 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[DataFrame, str]] = []
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
+#: Spark deletes the shuffle files of a saved table once it is saved.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,29 +29,58 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and lost executors cost no recomputation."""
+def written(df: DataFrame, name: str, *replaced: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends there and lost executors cost no recomputation.
+
+    Shuffle files of its making go when it is saved, as do the tables of written() that it replaces.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomspan-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
     if not _WRITTEN:
         atexit.register(drop_written)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((found, path))
+    release(*replaced)
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more; of other data frames nothing is deleted."""
+    for at in [i for i, (held, _) in enumerate(_WRITTEN) if any(held is t for t in tables)][::-1]:
+        _delete(*_WRITTEN.pop(at))
 
 
 def drop_written() -> None:
     """Delete the tables that written() has made; results that still read them must have been saved before."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(*_WRITTEN.pop())
         except Exception:  # the session may have ended; the folder is the cluster's scratch space
             return
 
 
+def _delete(table: DataFrame, path: str) -> None:
+    spark = table.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches hold BATCH_BYTES at most from here on (one row at least), so that long texts don't fill workers; a smaller limit stays."""
+    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_LIMIT))
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -90,6 +122,7 @@ def frequent(counts: DataFrame, n_col: str, key_col: str, most: int) -> DataFram
 
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], list[bool]]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Filter whole rows of docs where they lie, all columns as they are: make() builds a task's test of (ids, texts)."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     at_id, at_text = names.index(id_col), names.index(text_col)
 
@@ -105,6 +138,7 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], li
 
 def doc_columns(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text under fixed names, whatever else the table carries; a null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
