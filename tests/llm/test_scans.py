@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -77,6 +79,63 @@ def test_tagger_learns_and_adds(spark, odd, none):
     assert (one.n_email, one.n_ip, one.n_card, one.n_phone) == (1, 0, 1, 1) and one.base.startswith("email:5:13,card:")
 
 
+def test_tagger_finds_what_base_patterns_miss(spark):
+    """Held-out spans in other forms, alone and beside another one, in texts of the test tables."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tagger = pii.fit(documents)
+    grounds = [r.text for r in documents.filter("n_chars between 200 and 900").orderBy("doc_id").collect() if not pii.TRIGGER.search(r.text)]
+    for alone, least in ((True, 0.95), (False, 0.85)):
+        made, total, right, foreign = pii.Spans(4242), 0, 0, 0
+        for n in range(400):
+            ground = grounds[n % len(grounds)]
+            text, planted = ground[: ground.index(" ", 60) + 1], set()
+            rest = ground[len(text) :]
+            for kind in [made.r.randint(0, 3) for _ in range(1 if alone else 2)]:
+                piece = made.of(kind)
+                planted.add((kind, len(text), len(text) + len(piece)))
+                text += piece + " "
+            base = pii.base_spans(text + rest)
+            added = pii.added_spans(tagger, [text + rest], [base])[0]
+            missed = [p for p in planted - set(base) if not any(s < p[2] and p[1] < e for _, s, e in base)]
+            total += len(missed)
+            right += len(set(missed) & set(added))
+            foreign += sum(not any(s < z and q < e for _, s, e in planted) for _, q, z in added)
+        assert total > 150 and right >= least * total and foreign <= 4, (alone, total, right, foreign)
+
+
+def test_best_path_and_marginals_against_all_paths():
+    """Decoding of short windows: the best of all tag sequences, and marginals as sums over all of them."""
+    tagger, rng = Tagger(1, dims=3, hidden=4), np.random.default_rng(5)
+    tagger.p["trans"] = rng.normal(0, 1, tagger.p["trans"].shape).astype(np.float32)
+    x = rng.integers(1, 100, (6, 5))
+    e = tagger.emissions(x.T)[0]
+    moves = tagger.p["trans"] + tagger.banned
+    marginals = tagger.marginals(e)
+    decoded = tagger.decode(x)
+    for w in range(6):
+        scores = {}
+        for path in itertools.product(range(3), repeat=5):
+            scores[path] = float(tagger.first[path[0]] + sum(e[t, w, path[t]] for t in range(5)) + sum(moves[path[t - 1], path[t]] for t in range(1, 5)))
+        best = max(scores, key=scores.get)
+        spans = [(t, next((u for u in range(t + 1, 5) if best[u] != 2), 5)) for t in range(5) if best[t] == 1]
+        assert [(s, z) for _, s, z, _ in decoded[w]] == spans
+        weights = {p: math.exp(v - scores[best]) for p, v in scores.items()}
+        for t in range(5):
+            for tag in range(3):
+                assert abs(marginals[t, w, tag] - sum(v for p, v in weights.items() if p[t] == tag) / sum(weights.values())) < 1e-4
+
+
+def test_reconcile_against_all_subsets():
+    r = random.Random(8)
+    for _ in range(60):
+        found = [(r.randrange(2), s := r.randrange(30), s + r.randint(1, 9), r.choice((0.6, 0.7, 0.9, 1.0))) for _ in range(7)]
+        weight = lambda spans: sum(max(p for *x, p in found if tuple(x) == k) * (k[2] - k[1]) for k in spans)
+        distinct = sorted({x[:3] for x in found})
+        best = max(weight(c) for n in range(8) for c in itertools.combinations(distinct, n) if all(a[2] <= b[1] or b[2] <= a[1] for a, b in itertools.combinations(c, 2)))
+        got = pii.reconcile(found)
+        assert abs(weight(got) - best) < 1e-9 and all(a[2] <= b[1] or b[2] <= a[1] for a, b in itertools.combinations(got, 2))
+
+
 def test_reconcile():
     assert pii.reconcile([(0, 0, 10, 0.9), (0, 5, 8, 0.99), (1, 10, 20, 0.7), (1, 10, 20, 0.8)]) == [(0, 0, 10), (1, 10, 20)]
     assert pii.reconcile([]) == []
