@@ -111,22 +111,32 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return df.withColumn("fingerprint", F.expr(printed("cells")))
 
 
-def with_next(rows: DataFrame, derived: dict[str, str] | None = None, *, each: int = 2000) -> DataFrame:
+def range_of(key: str, bounds: list[int]) -> str:
+    """SQL: how many of the sorted bounds are below key, by binary search."""
+    if not bounds:
+        return "0"
+    listed = f"array({', '.join(f'{b}L' for b in bounds)})"
+    half = "((s.lo + s.hi) div 2)"
+    step = f"if(element_at({listed}, cast({half} + 1 as int)) < {key}, struct({half} + 1 as lo, s.hi as hi), struct(s.lo as lo, {half} as hi))"
+    return f"cast(aggregate(sequence(1, {len(bounds).bit_length()}), struct(0L as lo, {len(bounds)}L as hi), (s, i) -> if(s.lo < s.hi, {step}, s), s -> s.lo) as int)"
+
+
+def with_next(rows: DataFrame, derived: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, text) with `next_text`: the text of the next row by descending doc_id (of equal ids by text); after the last comes the first.
 
     Columns `derived` from the text (name: SQL) are computed once a row, before it moves, and come with it: as they are
     and, under next_..., those of the next row.
 
-    Rows go to ranges of ids, cut at quantiles of all ids.  Each range also gets a copy of what follows it: the
-    rows of the greatest id of the next lower range, and for the lowest those of the greatest of all.  So texts are
-    shuffled once, and no range depends on another.  A null id counts as the least.
+    Rows go to ranges of ids, cut at quantiles of all ids: twice as many as there are shuffle partitions, each found by
+    binary search.  Each range also gets a copy of what follows it: the rows of the greatest id of the next lower range,
+    and for the lowest those of the greatest of all.  So texts are shuffled once, and no range depends on another.  A
+    null id counts as the least.
     """
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
     spark = rows.sparkSession
-    n = rows.count()
-    parts = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // each) if n else 1
-    bounds = sorted(set(rows.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or [])) if parts > 1 else []
-    rows = rows.withColumn("part", F.expr(f"size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b < k))") if bounds else F.lit(0))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(rows.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []))
+    rows = rows.withColumn("part", F.expr(range_of("k", bounds)))
     tops = [(r.part, r.top) for r in rows.groupBy("part").agg(F.max("k").alias("top")).orderBy("part").collect()]
     if not tops:
         tops = [(0, -(2**63))]
