@@ -156,6 +156,8 @@ class WordBpe:
             if "Σ" in text:  # str.lower() knows a final sigma, letter-wise lowering does not
                 text = text.replace("Σ", "σ")
         text = text.lower()
+        if not text.isascii() and _NEW_CAPITALS.search(text):
+            text = text.translate(_NEW_LOWER)
         if not text.isascii() and _FAR.search(text) and (odd := unassigned()).search(text):
             return [text[m.start() : m.end()] for m in self.words.finditer(odd.sub("\u0378", text))]
         return self.words.findall(text)
@@ -184,6 +186,11 @@ _UNICODE_16 = regex.compile(
     "\U00016d40-\U00016d79\U00018cff\U0001ccf0-\U0001ccf9\U0001e5d0-\U0001e5fa]"
 )
 
+# Capitals that Unicode 16.0 and 17.0 added, which the tokenizers library lowers and Python 3.13 doesn't.
+_NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_NEW_CAPITALS = re.compile("[" + "".join(map(chr, sorted(_NEW_LOWER))) + "]")
+
 
 @lru_cache(maxsize=1)
 def unassigned() -> regex.Pattern:

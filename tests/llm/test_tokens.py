@@ -38,6 +38,12 @@ def test_bpe_on_any_text(text):
     same([text])
 
 
+def test_new_capitals_and_letters():
+    """Every code point of the blocks in which tables of Unicode differ."""
+    blocks = [(0x1C80, 0x1C90), (0xA7C0, 0xA7E0), (0x10D40, 0x10D90), (0x16EA0, 0x16EE0), (0x105C0, 0x10600), (0x1E5D0, 0x1E600)]
+    same([pattern % chr(c) for a, z in blocks for c in range(a, z) for pattern in ("a%sb", "%s")])
+
+
 def test_encode_rows(odd, none):
     rows = bpe.encode(odd, WORDS).collect()
     assert len(rows) == odd.count() and bpe.encode(none, WORDS).count() == 0
