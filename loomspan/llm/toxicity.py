@@ -3,6 +3,8 @@
 Severity grades 0 (clean), 1 and 2 are ordered; P(grade > k) = sigmoid(w.x - cut_k) with one weight vector for all
 thresholds.  Features are sparse: words, and their first letters, that the labelled documents tie to toxicity.  The
 result is the expected severity, P(grade > 0) + P(grade > 1).
+
+Grades come from the labels alone: toxic is 1, toxic and of low quality 2.
 """
 
 from __future__ import annotations
@@ -59,7 +61,6 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, *, l2: float = 3e-5, steps: i
     n, d = x.shape
     w, cut, gap = np.zeros(d), 1.0, 0.5
     m, v = np.zeros(d + 2), np.zeros(d + 2)
-    above = np.stack([grades > 0, grades > 1])
     for t in range(1, steps + 1):
         z = x @ w
         cuts = np.array([cut, cut + np.exp(gap)])
@@ -74,13 +75,13 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, *, l2: float = 3e-5, steps: i
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, cut, gap = w - step[:d], cut - step[d], gap - step[d + 1]
-    assert above.shape[1] == n
     return w, (float(cut), float(cut + np.exp(gap)))
 
 
-def fit_texts(texts: list[str], toxic: list[int], *, max_features: int = 400, min_docs: int = 5) -> SeverityModel:
-    """Fit on labelled texts.  Toxic texts with more tied words than their median get grade 2, the others grade 1."""
-    y = np.array(toxic, bool)
+def fit_texts(texts: list[str], grades: list[int], *, max_features: int = 400, min_docs: int = 5) -> SeverityModel:
+    """Fit on texts with grades 0, 1 and 2."""
+    grades = np.array(grades, np.int64)
+    y = grades > 0
     if not len(y) or y.all() or not y.any():
         level = 8.0 if not y.any() else -8.0  # one class only: all are as the labels say, or clean without labels
         return SeverityModel({}, (level, level + 1))
@@ -100,23 +101,25 @@ def fit_texts(texts: list[str], toxic: list[int], *, max_features: int = 400, mi
     for i, own in enumerate(seen):
         for f in own.keys() & place.keys():
             x[i, place[f]] = np.log1p(own[f])
-    evidence = x.sum(1)
-    grades = np.where(y, 1 + (evidence > np.median(evidence[y])), 0)
     w, cuts = fit_ordinal(x, grades)
     return SeverityModel({f: float(w[i]) for f, i in place.items()}, cuts)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 5000, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> SeverityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 5000, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", quality_col: str = "quality") -> SeverityModel:
     """Fit on at most max_labelled labelled documents, those with the smallest hash of the id.
 
-    Rows with a null id, text or label don't count; of an id with several labels the greatest counts, of an id with
-    several texts the first in order.  The driver receives at most max_labelled texts.
+    A toxic document has grade 2 if its quality is labelled 0, else grade 1 (all of them where labels have no quality).
+    Rows with a null id, text or toxic label don't count; of an id with several labels the greatest grade counts, of an
+    id with several texts the first in order.  The driver receives at most max_labelled texts.
     """
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(toxic_col).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    low = (F.col(quality_col) == 0) if quality_col in labels.columns else F.lit(False)
+    toxic = F.col(toxic_col).cast("int")
+    grade = F.when(toxic.isNull(), None).when(toxic < 1, 0).when(low, 2).otherwise(1)
+    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), grade.alias("grade")).dropna().groupBy("doc_id").agg(F.max("grade").alias("grade"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropna()
-    found = rows.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
-    return fit_texts(found.text.tolist(), found.toxic.tolist())
+    found = rows.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("grade").alias("grade")).toPandas().sort_values("doc_id")
+    return fit_texts(found.text.tolist(), found.grade.tolist())
 
 
 THRESHOLD = 0.3
