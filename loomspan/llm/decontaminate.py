@@ -3,6 +3,9 @@
 Two strings within k edits share at least L - q + 1 - k q of the q-grams of the item (length L), and all of these lie
 within k diagonals of each other.  So shared q-grams are counted in bands of diagonals that overlap by half; bands that
 reach the bound are regions of the text, and a banded alignment verifies each.
+
+The bound must be 1 at least, so q is the greatest up to Q for which it is: short items have shorter q-grams, and one
+budget rule, floor(rate x length), holds for all lengths.
 """
 
 from __future__ import annotations
@@ -12,11 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import batch_of, doc_columns, keep_rows, map_arrow
+from loomspan.llm.shared import batch_of, doc_columns, keep_rows, map_arrow, written
 
+#: Code points of a q-gram, but for short items; items of fewer code points never match.
 Q = 9
 #: Edits allowed for each character of an item.
 RATE = 0.09
@@ -39,18 +44,21 @@ def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.where(blank, np.uint32(32), codes)[at], at
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit mix of each window of Q code points."""
-    if len(codes) < Q:
+def grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit mix of each window of q code points: windows of 1, 2, 4 and 8 are joined as the bits of q say."""
+    if len(codes) < q:
         return np.zeros(0, np.uint64)
-    a, p = codes.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    windows, p = len(codes) - q + 1, np.uint64(0x9E3779B97F4A7C15)
+    power, size, done = codes.astype(np.uint64), 1, 0
+    mixed = np.zeros(windows, np.uint64)
     with np.errstate(over="ignore"):
-        p2 = p * p
-        two = a[:-1] * p + a[1:]
-        four = two[:-2] * p2 + two[2:]
-        eight = four[:-4] * (p2 * p2) + four[4:]
-        nine = eight[: len(a) - 8] * p + a[8:]
-        return nine ^ (nine >> np.uint64(29))
+        while size <= q:
+            if q & size:
+                mixed = mixed * p + power[done : done + windows]
+                done += size
+            power = power[: len(power) - size] * p + power[size:]
+            size, p = 2 * size, p * p
+        return mixed ^ (mixed >> np.uint64(29))
 
 
 def slot(mixed: np.ndarray) -> np.ndarray:
@@ -60,8 +68,9 @@ def slot(mixed: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ItemIndex:
-    """Inverted lists from q-grams to (item, place), with the bounds of each item."""
+    """Inverted lists from q-grams to (item, place), with the bounds of each item; all items have q-grams of one length."""
 
+    q: int
     ids: list[int]
     codes: list[np.ndarray]
     budget: np.ndarray
@@ -73,16 +82,21 @@ class ItemIndex:
     maybe: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]], rate: float) -> ItemIndex:
-        ids, codes = [], []
+    def all_of(cls, items: list[tuple[int, str]], rate: float) -> list[ItemIndex]:
+        """An index for each length of q-grams that the items need: one if all are 36 code points or longer."""
+        by_q: dict[int, list[tuple[int, np.ndarray, int]]] = {}
         for i, text in sorted(items):
             c = normal(text.strip())[0]
             if len(c) >= Q:
-                ids.append(i)
-                codes.append(c)
-        lengths = np.array([len(c) for c in codes], np.int64)
-        budget = np.minimum(np.floor(rate * lengths), (lengths - Q) // Q).astype(np.int64)
-        mixed = [grams(c) for c in codes]
+                k = int(rate * len(c))
+                if q := min(Q, len(c) // (k + 1)):  # L - q + 1 - k q >= 1
+                    by_q.setdefault(q, []).append((i, c, k))
+        return [cls.of(q, *map(list, zip(*own, strict=True))) for q, own in sorted(by_q.items())]
+
+    @classmethod
+    def of(cls, q: int, ids: list[int], codes: list[np.ndarray], budgets: list[int]) -> ItemIndex:
+        lengths, budget = np.array([len(c) for c in codes], np.int64), np.array(budgets, np.int64)
+        mixed = [grams(c, q) for c in codes]
         flat = np.concatenate([np.zeros(0, np.uint64), *mixed])
         item = np.repeat(np.arange(len(codes)), [len(m) for m in mixed])
         place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(m)) for m in mixed]])
@@ -90,11 +104,11 @@ class ItemIndex:
         keys, first = np.unique(flat[order], return_index=True)
         maybe = np.zeros(1 << _BITS, bool)
         maybe[slot(keys)] = True
-        return cls(ids, codes, budget, lengths - Q + 1 - Q * budget, keys, np.append(first, len(flat)), item[order], place[order], maybe)
+        return cls(q, ids, codes, budget, lengths - q + 1 - q * budget, keys, np.append(first, len(flat)), item[order], place[order], maybe)
 
     def regions(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first diagonal, end diagonal) of bands that reach the bound of their item."""
-        mixed = grams(codes)
+        mixed = grams(codes, self.q)
         at = np.flatnonzero(self.maybe[slot(mixed)])
         if not len(at) or not len(self.keys):
             return []
@@ -104,7 +118,8 @@ class ItemIndex:
         many = self.first[row + 1] - self.first[row]
         entry = np.repeat(self.first[row] - np.cumsum(many) + many, many) + np.arange(many.sum())
         item = self.item[entry]
-        diagonal = np.repeat(at, many) - self.place[entry] + 4_194_304  # above 0
+        above = max(map(len, self.codes))  # no diagonal is below 0 then
+        diagonal = np.repeat(at, many) - self.place[entry] + above
         step = self.budget[item] + 1
         band = diagonal // step
         keys, counts = np.unique(np.concatenate([item << 40 | band, item << 40 | (band - 1)]), return_counts=True)
@@ -113,7 +128,7 @@ class ItemIndex:
         out = []
         for i, b in zip(item[enough].tolist(), band[enough].tolist(), strict=True):
             step = int(self.budget[i]) + 1
-            out.append((i, b * step - 4_194_304, (b + 2) * step - 4_194_304))
+            out.append((i, b * step - above, (b + 2) * step - above))
         return out
 
 
@@ -163,22 +178,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, id_
     results; an empty table on either side gives none; other columns are ignored.
 
     Documents don't move: each task searches its rows against an index of the items.  An index holds BLOCK_CHARS
-    characters at most; a larger benchmark is split by a hash of the item into more blocks, each searched in turn.
+    characters at most; a larger benchmark is split by a hash of the item into more blocks.  Each is searched and its
+    finds are saved before the next one is sent, so that one block is with the tasks at a time.
     """
-    out = None
-    for part in _blocks(benchmark, item_id_col, item_text_col):
-        found = _search(docs, part, rate, id_col, text_col)
+    out, several = None, False
+    for part, several in _blocks(benchmark, item_id_col, item_text_col):
+        held = docs.sparkSession.sparkContext.broadcast(part)
+        found = _search(docs, held, rate, id_col, text_col)
+        if several:
+            found = written(found, "leaks")
+            held.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs in whose text find_leaks() finds no benchmark item, with all of their columns."""
-    for items in _blocks(benchmark, item_id_col, item_text_col):
+    before = None
+    for items, several in _blocks(benchmark, item_id_col, item_text_col):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(held=held):
-            index = ItemIndex.of(held.value, rate)
+            index = ItemIndex.all_of(held.value, rate)
 
             def test(ids: list, texts: list[str]) -> list[bool]:
                 leaked = {doc for doc, _ in _places(index, texts)}
@@ -187,26 +208,29 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE,
             return test
 
         docs = keep_rows(docs, make, id_col=id_col, text_col=text_col)
+        if several:
+            docs = before = written(docs, "kept", *([before] if before is not None else []))
+            held.destroy()
     return docs
 
 
-def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's distinct items in blocks of about BLOCK_CHARS characters, one at least."""
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The benchmark's distinct items in blocks of about BLOCK_CHARS characters, one at least; and whether there are several."""
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).dropna().distinct()
     size = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = -(-size // BLOCK_CHARS) or 1
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield [(r.item_id, r.text) for r in part.collect()]
+        yield [(r.item_id, r.text) for r in part.collect()], blocks > 1
 
 
-def _places(index: ItemIndex, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+def _places(indexes: list[ItemIndex], texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
     """(edits, start, end, length of the item) of the best place for each (number of the text, item id) that matches."""
     codes, at = normal(_GAP.join(texts))
     raw = np.cumsum([0, *[len(t) + Q for t in texts]])
     bounds = np.searchsorted(at, raw)
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for item, lo, hi in index.regions(codes):
+    for index, item, lo, hi in ((x, *region) for x in indexes for region in x.regions(codes)):
         budget, own = int(index.budget[item]), index.codes[item]
         length = len(own)
         doc = int(np.searchsorted(bounds, max(0, (lo + hi + length) // 2), side="right")) - 1
@@ -221,12 +245,11 @@ def _places(index: ItemIndex, texts: list[str]) -> dict[tuple[int, int], tuple[i
     return best
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], rate: float, id_col: str, text_col: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
+def _search(docs: DataFrame, held: Broadcast, rate: float, id_col: str, text_col: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("similarity", pa.float64())])
 
     def make():
-        index = ItemIndex.of(held.value, rate)
+        index = ItemIndex.all_of(held.value, rate)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
