@@ -40,8 +40,8 @@ BLOCK_SHINGLES = 2_000_000
 KEEP_WORDS = 250_000
 #: Ids of documents to verify that are sent to all tasks at most (8 bytes each).
 WANTED_MOST = 2_000_000
-#: Rows of dropped documents that are sent to all tasks at most.
-DROPPED_MOST = 300_000
+#: Rows of dropped documents, or of first documents of many rows, that are sent to all tasks at most.
+SENT_MOST = 300_000
 #: Shingles of a bucket of short lists; rows that a task holds at a time, but for a longer list; rows of a part of a first document's lists.
 BUCKET_SHINGLES, HELD_ROWS, PART_ROWS = 1_000_000, 50_000, 1_500
 #: After every shingle, in the order of signed numbers.
@@ -509,8 +509,9 @@ def _labelled(rows: DataFrame) -> DataFrame:
     rest = written(rest.repartition("h").sortWithinPartitions("h").mapInArrow(_viable, rest.schema), "rest", pairs, listed)
     if not rest.isEmpty():
         # lists of one first document meet in as few parts as their rows need, so that few copies of a set are sent
-        parts = rest.groupBy("first").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
-        dealt = rest.join(parts, "first").withColumn("part", F.pmod("h", "parts")).drop("parts")
+        many = written(rest.groupBy("first").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")).filter("parts > 1"), "parts")
+        many = F.broadcast(many) if many.count() <= SENT_MOST else many
+        dealt = rest.join(many, "first", "left").withColumn("part", F.coalesce(F.pmod("h", "parts"), F.lit(0).cast("long"))).drop("parts")
         close = written(_dealt(dealt, classes, "bits", _close, dealt.schema.simpleString()[7:-1]), "close", rest)
         wanted = written(close.select("class").distinct().join(classes, "class").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
         brought = written(sets_of(wanted, rows).dropDuplicates(["class"]), "sets", wanted)
@@ -535,11 +536,11 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone, repeated = state.filter("not stays").select("doc_id", "mark"), state.filter("stays").select("doc_id", "mark")
     names = docs.columns
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
-    if gone.count() <= DROPPED_MOST:
+    if gone.count() <= SENT_MOST:
         gone = F.broadcast(gone)
     rows = rows.join(gone, ["doc_id", "mark"], "left_anti")
     if not repeated.isEmpty():  # of equal rows one stays; only these move
-        if repeated.count() <= DROPPED_MOST:
+        if repeated.count() <= SENT_MOST:
             repeated = F.broadcast(repeated)
         equal = rows.join(repeated, ["doc_id", "mark"], "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("mark"))).filter("k = 1")
         rows = rows.join(repeated, ["doc_id", "mark"], "left_anti").unionByName(equal.drop("k"))
