@@ -278,7 +278,7 @@ def lm_scores(docs: DataFrame, train_on: DataFrame, *, frequent: int = 60_000, o
     ends = train_rows.count()
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
-    below = np.log10(total + ALPHA * (distinct + 1)) if total else 0.0
+    below = np.log10(total + ALPHA * (distinct + 1))
     head = most_frequent(counts, "n", "word", frequent).collect()
     own = max(0, min(own, len(head)))
     classes = Classes({bytes(r.word): i for i, r in enumerate(head)}, own, shared, np.log10(np.array([r.n for r in head], float) + ALPHA))

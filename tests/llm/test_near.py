@@ -1,8 +1,10 @@
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomspan.llm import decontaminate, fingerprints, jaccard_join
@@ -167,14 +169,81 @@ def test_fingerprints_against_sets(spark):
     rows = [(i, "\n".join(r.sample(lines, r.choice((0, 1, 3, 20, 200, 1500))))) for i in range(30)] + [(50, None), (51, "é😀" * 300)]
     got = {x.doc_id: x for x in fingerprints.version_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     for at, (i, text) in enumerate(order):
         after = order[(at + 1) % len(order)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         near = [len(a & b) / len(a | b) if a | b else 1.0 for a, b in ((paragraphs(text), paragraphs(x)) for x in (edited, after))]
+        assert got[i].edited_sha256 == digest(edited)
         assert (got[i].n_chars, round(got[i].near_edited, 9), round(got[i].near_next, 9)) == (len(text), round(near[0], 9), round(near[1], 9))
 
 
+def test_next_texts_of_equal_and_null_ids(spark):
+    """Descending ids, of equal ones by text, null last; after the last comes the first; ids far apart and few ranges."""
+    rows = [(5, "b1"), (5, "a2"), (None, "n3"), (-7, "c4"), (2**62, "d5"), (5, "a2"), (None, None)]
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (-(x[0] if x[0] is not None else -(2**63)), x[1]))
+    expected = Counter((i, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.with_next(docs.selectExpr("doc_id", "coalesce(text, '') as text"))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got.collect()) == expected
+    sha = Counter((i, hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()) for (i, t, after), n in expected.items() for _ in range(n))
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprints.version_likeness(docs).collect()) == sha
+
+
+def test_ranges_by_binary_search(spark):
+    for bounds in ([], [3], [-5, 0, 7, 9], list(range(0, 3000, 3))):
+        got = spark.range(-10, 40).selectExpr("id", f"{fingerprints.range_of('id', bounds)} as part").collect()
+        assert all(r.part == sum(b < r.id for b in bounds) for r in got)
+
+
+def test_whole_groups_from_sorted_batches():
+    r = random.Random(2)
+    keys = sorted((r.randrange(30), r.randrange(2)) for _ in range(400))
+    rows = [(a, b, n) for n, (a, b) in enumerate(keys)]
+    batches, at = [], 0
+    while at < len(rows):
+        size = r.choice((0, 1, 2, 30))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[at : at + size])] or [pa.array([], pa.int64())] * 3, ["a", "b", "n"]))
+        at += size
+    for most in (1, 50, 10_000):
+        tables = [t.to_pylist() for t in jaccard_join.whole(batches, "a", "b", most=most)]
+        assert [x["n"] for t in tables for x in t] == list(range(400))
+        seen = [{(x["a"], x["b"]) for x in t} for t in tables]
+        assert sum(map(len, seen)) == len(set(keys)) and all(len(t) >= most for t in tables[:-1])
+    assert list(jaccard_join.whole([], "a")) == []
+
+
+def test_one_row_of_each_component(spark):
+    """Ids that repeat with other texts: rows are told apart by id and text, and a row that links to nothing stays."""
+    a, b = " ".join("w%d" % i for i in range(60)), " ".join("v%d" % i for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (3, "alone here is this one text"), (4, a), (4, a), (5, "x y"), (5, "x y")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (1, b), (3, "alone here is this one text"), (5, "x y")])
+
+
+@pytest.mark.parametrize("length", [*range(9, 61, 3), 17, 23, 26, 34, 35])
+def test_one_budget_for_all_lengths(length):
+    """Items of any length are found with floor(rate x length) edits at their worst places, and not with two more."""
+    r = random.Random(length)
+    letters = "abcdefghijklmnop"
+    for _ in range(20):
+        item = "".join(r.choice(letters) for _ in range(length))
+        budget = int(decontaminate.RATE * length)
+        indexes = decontaminate.ItemIndex.all_of([(1, item)], decontaminate.RATE)
+        for k in (0, budget, budget + 2):
+            edited = list(item)
+            for n in range(k):  # spread evenly, which leaves the fewest q-grams
+                edited[min(length - 1, (n + 1) * length // (k + 1))] = "z"
+            edited = "".join(edited)
+            text = "qrst " * 5 + edited + " uvwx" * 5
+            found = decontaminate._places(indexes, [text])
+            near = min(edits(item, text[s:z]) for s in range(20, 30) for z in range(25 + length - 6, 25 + length + 6))
+            assert bool(found) == (near <= budget), (item, edited)
+            if found:
+                assert found[0, 1][0] == near
+
+
 def test_fingerprint_rows(odd, none):
     rows = fingerprints.version_likeness(odd).collect()
     assert len(rows) == odd.count() and fingerprints.version_likeness(none).count() == 0
