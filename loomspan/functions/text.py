@@ -73,9 +73,13 @@ def normal_place(value: Column) -> Column:
     return reduce(lambda out, ending: let(out, without(ending)), PLACE_ENDINGS, normal_chars(F.trim(value)))
 
 
+# Fixed value: what stands between names in one field.
+PEOPLE_SEPARATORS = r"[、，,；;]\s*|(?:以?及|和|与|與)\s*"
+
+
 def split_people(value: Column) -> Column:
     """The names in a field that may hold several, without empty tokens."""
-    parts = F.split(F.trim(F.coalesce(value, F.lit(""))), r"[、，,；;]\s*|(?:以?及|和|与|與)\s*")
+    parts = F.split(F.trim(F.coalesce(value, F.lit(""))), PEOPLE_SEPARATORS)
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: ~p.isin(*EMPTY_PERSON))
 
 
@@ -121,6 +125,11 @@ def visible_length(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", ""))
 
 
+def single_visible(text: Column) -> Column:
+    """Whether a text is a single character of a document: a digit or CJK."""
+    return F.coalesce(text, F.lit("")).rlike(r"^[0-9\x{4e00}-\x{9fff}]$")
+
+
 def too_long(text: Column, expected: int = 420) -> Column:
     """The reason for which a text is rejected by length, or null."""
     most = int(expected * 1.4)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.similarity import person_similarity
 from loomspan.functions.people import score_people
-from loomspan.functions.text import EMPTY_ANALYSIS, normal_place, present, price, split_people, surname
+from loomspan.functions.text import EMPTY_ANALYSIS, is_empty, normal_place, present, price, split_people, surname
 from loomspan.operators.grouped import per_group
 
 ROLES = ("seller", "buyer", "middleman")
@@ -52,6 +52,68 @@ def clans(entities: DataFrame) -> DataFrame:
     return entities.select(surname(F.col("name")).alias("surname")).filter("surname <> ''").groupBy("surname").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
+def clan_members(entities: DataFrame, most: int = 5) -> DataFrame:
+    """The members (surname, name, n) of the `most` largest clans, a row each, so that no clan is one value."""
+    top = F.broadcast(clans(entities).orderBy(F.desc("n"), "surname").limit(most))
+    return entities.select(surname(F.col("name")).alias("surname"), "name").join(top, "surname")
+
+
+def counterparties(said: DataFrame, most: int = 10) -> DataFrame:
+    """For each middleman the first `most` parties of its deeds, in order of their names."""
+    parties = said.filter("role <> 'middleman'").select("id", F.col("name").alias("party")).distinct()
+    met = said.filter("role = 'middleman'").select("id", "name").distinct().join(parties, "id").select("name", "party").distinct()
+    first = met.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("party"))).filter(F.col("k") <= most)
+    return first.groupBy("name").agg(F.sort_array(F.collect_list("party")).alias("parties"))
+
+
+def edge_labels(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """Edges with their label: the first deed's year and price for a trade."""
+    at = facts.select(F.col("id").alias("first_doc"), "year", present(F.col("price"), EMPTY_ANALYSIS).alias("price"))
+    year = F.when(F.col("year").isNotNull(), F.concat(F.lit("·"), F.col("year"))).otherwise("")
+    price_part = F.when(F.col("price") != "", F.concat(F.lit(" ["), "price", F.lit("]"))).otherwise("")
+    label = F.when(F.col("relation") == "Trade", F.concat(F.lit("出售"), year, price_part)).otherwise("见证")
+    return edges.join(at, "first_doc").select("src", "dst", "relation", "first_doc", "n", label.alias("label"))
+
+
+def edge_docs(said: DataFrame) -> DataFrame:
+    """The deeds noted at each edge, a row each (src, dst, pos, doc): its first one, and every later trade."""
+    order = Window.partitionBy("src", "dst").orderBy("id", "kind")
+    kept = _relations(said).withColumn("k", F.row_number().over(order)).filter("k = 1 or kind = 0")
+    return kept.select("src", "dst", (F.row_number().over(order) - 1).alias("pos"), F.col("id").alias("doc"))
+
+
+def land_edges(facts: DataFrame) -> DataFrame:
+    """Sellers to plots and plots to buyers, one for each ordered pair, with the first deed: plots are places with two deeds at least."""
+    rows = facts.select("id", normal_place(present(F.col("location"), EMPTY_ANALYSIS)).alias("place"), "seller", "buyer").filter("place <> ''")
+    several = rows.groupBy("place").agg(F.count("*").alias("deeds")).filter("deeds >= 2").select("place")
+    rows = rows.join(several, "place", "left_semi").withColumn("plot", F.concat(F.lit("[地块]"), "place"))
+    people = lambda c: F.explode(split_people(F.when(~is_empty(F.col(c), EMPTY_ANALYSIS), F.col(c))))
+    out = rows.select("id", people("seller").alias("src"), F.col("plot").alias("dst"), F.lit("出让").alias("kind"))
+    into = rows.select("id", F.col("plot").alias("src"), people("buyer").alias("dst"), F.lit("受让").alias("kind"))
+    return out.unionByName(into).groupBy("src", "dst", "kind").agg(F.min("id").alias("first_doc"))
+
+
+def edges_of_tasks(said: DataFrame, task: str) -> DataFrame:
+    """The different edges of each task (task, src, dst)."""
+    return _relations(said, task).select(task, "src", "dst").distinct()
+
+
+def report(facts: DataFrame, said: DataFrame) -> DataFrame:
+    """The ranked parts of a report (part, pos, name, n): people 8, places 8, plots 6, clans 5, witnesses 6; ties by name."""
+    parts = {
+        "people": (said.groupBy("name").agg(F.countDistinct("id").alias("n")), 8),
+        "places": (place_counts(facts).withColumnRenamed("place", "name"), 8),
+        "plots": (place_counts(facts).withColumnRenamed("place", "name").filter("n >= 2"), 6),
+        "clans": (clans(said.select("name").distinct()).withColumnRenamed("surname", "name"), 5),
+        "witnesses": (said.filter("role = 'middleman'").groupBy("name").agg(F.count("*").alias("n")), 6),
+    }
+    out = None
+    for part, (rows, most) in parts.items():
+        top = rows.orderBy(F.desc("n"), "name").limit(most).select(F.lit(part).alias("part"), "name", "n")
+        out = top if out is None else out.unionByName(top)
+    return out.withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "name")))
+
+
 def witnesses(said: DataFrame) -> DataFrame:
     """For each middleman: mentions, deeds, and different parties of these deeds.
 
@@ -70,17 +132,20 @@ def roles_of(said: DataFrame) -> DataFrame:
     return rows.withColumn("cross_role", F.size("roles") > 1)
 
 
+def _relations(said: DataFrame, *more: str) -> DataFrame:
+    """(id, src, dst, kind) of every deed: sellers to buyers (0), middlemen to both (1); a deed's people meet once."""
+    people = said.select("id", *more, "role", F.col("name").alias("src")).join(said.select("id", F.col("role").alias("to"), F.col("name").alias("dst")), "id")
+    trade, witness = F.expr("role = 'seller' and to = 'buyer'"), F.expr("role = 'middleman' and to in ('seller', 'buyer')")
+    return people.filter((trade | witness) & (F.col("src") != F.col("dst"))).select("id", *more, "src", "dst", F.when(trade, 0).otherwise(1).alias("kind"))
+
+
 def relation_edges(said: DataFrame) -> DataFrame:
     """Edges (src, dst): sellers to buyers (Trade), middlemen to both (Witness), one for each ordered pair.
 
     The first deed (by id, trades before testimonies) gives the relation; n counts all.
     """
-    one = lambda role, name: said.filter(F.col("role").isin(*role)).select("id", F.col("name").alias(name))
-    trade = one(["seller"], "src").join(one(["buyer"], "dst"), "id").select("id", "src", "dst", F.lit(0).alias("kind"))
-    witness = one(["middleman"], "src").join(one(["seller", "buyer"], "dst"), "id").select("id", "src", "dst", F.lit(1).alias("kind"))
-    every = trade.unionByName(witness).filter("src <> dst")
     first = F.min(F.struct("id", "kind"))
-    return every.groupBy("src", "dst").agg(F.count("*").alias("n"), first.alias("f")).select("src", "dst", F.when(F.col("f.kind") == 0, "Trade").otherwise("Witness").alias("relation"), F.col("f.id").alias("first_doc"), "n")
+    return _relations(said).groupBy("src", "dst").agg(F.count("*").alias("n"), first.alias("f")).select("src", "dst", F.when(F.col("f.kind") == 0, "Trade").otherwise("Witness").alias("relation"), F.col("f.id").alias("first_doc"), "n")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

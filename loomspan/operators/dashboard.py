@@ -12,17 +12,21 @@ def years(facts: DataFrame) -> DataFrame:
     return facts.filter("year is not null").groupBy("year").agg(F.count("*").alias("n"))
 
 
+def _most_common(named: DataFrame, most: int | None) -> DataFrame:
+    """Names by how often they occur; of equals the one that comes first (id, place in its deed)."""
+    counts = named.filter(~is_empty(F.col("name"), EMPTY_DASHBOARD)).groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+    return (counts.orderBy(F.desc("n"), "first").limit(most) if most else counts).drop("first")
+
+
 def places(facts: DataFrame, most: int | None = 10) -> DataFrame:
-    """Places by number of deeds, as written; ties by name."""
-    counts = facts.select(F.trim(as_text(F.col("location"))).alias("name")).filter(~is_empty(F.col("name"), EMPTY_DASHBOARD)).groupBy("name").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "name").limit(most) if most else counts
+    """Places by number of deeds, as written; ties by the first deed."""
+    return _most_common(facts.select("id", F.lit(0).alias("pos"), F.trim(as_text(F.col("location"))).alias("name")), most)
 
 
 def people(facts: DataFrame, most: int | None = 10) -> DataFrame:
-    """People by number of mentions in the three roles, as written; ties by name."""
-    long = facts.unpivot(["id"], ["seller", "buyer", "middleman"], "role", "name").select(F.trim(as_text(F.col("name"))).alias("name"))
-    counts = long.filter(~is_empty(F.col("name"), EMPTY_DASHBOARD)).groupBy("name").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "name").limit(most) if most else counts
+    """People by number of mentions in the three roles, as written; ties by the first mention."""
+    roles = F.array(*[F.trim(as_text(F.col(c))) for c in ("seller", "buyer", "middleman")])
+    return _most_common(facts.select("id", F.posexplode(roles).alias("pos", "name")), most)
 
 
 def price_trend(facts: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from difflib import SequenceMatcher
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +148,42 @@ def voted(segments: DataFrame, key: list[str]) -> DataFrame:
     return best.filter("b.views >= 2").select(*key, "b.text", "b.views", F.round("b.confidence", 4).alias("confidence"))
 
 
+def masked(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+    """What two readings share, each stretch of difference one placeholder, and how alike they are."""
+    texts, alike = [], []
+    for a, b in zip(first, second, strict=True):
+        match = SequenceMatcher(None, a or "", b or "", autojunk=False)
+        shared = "".join(a[i:k] if tag == "equal" else PLACEHOLDER for tag, i, k, _, _ in match.get_opcodes()) if a and b else ""
+        texts.append(re.sub(f"{PLACEHOLDER}+", PLACEHOLDER, shared))
+        alike.append(match.ratio() if a and b else 0.0)
+    return pd.DataFrame({"text": texts, "similarity": alike})
+
+
+def consensus(segments: DataFrame, key: list[str], *, similar: float = 0.4, most_chars: int = 6, sure: float = 0.75) -> DataFrame:
+    """The text of each group of segments of several views: text, status, confidence, reason.
+
+    Two views that agree decide.  Else the two surest readings, differences masked, if alike enough; else the best
+    single one, if short and sure; else a placeholder.
+    """
+    agreed = voted(segments, key).select(*key, F.col("text").alias("vote"), F.col("confidence").alias("vote_confidence"))
+    read = segments.filter((F.col("text") != "") & (F.col("text") != PLACEHOLDER))
+    ranked = read.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("confidence"), "seg"))).filter("k <= 2")
+    two = ranked.groupBy(*key).agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2) for c in ("text", "confidence")])
+    best = best_of(segments, key).select(*key, F.coalesce("text", F.lit("")).alias("best"), F.col("confidence").alias("best_confidence"))
+    rows = best.join(agreed, key, "left").join(two, key, "left").withColumn("m", F.when(F.col("vote").isNull() & F.col("text2").isNotNull(), F.pandas_udf(masked, "text string, similarity double")("text1", "text2")))
+    vote = F.col("vote").isNotNull()
+    mask = F.coalesce((F.replace("m.text", F.lit(PLACEHOLDER), F.lit("")) != "") & (F.col("m.similarity") >= similar), F.lit(False))
+    short = (F.length("best") <= most_chars) & (F.col("best_confidence") >= sure)
+    pick = lambda a, b, c, d: F.when(vote, a).when(mask, b).when(short, c).otherwise(d)
+    return rows.select(
+        *key,
+        pick(F.col("vote"), F.col("m.text"), F.col("best"), F.lit(PLACEHOLDER)).alias("text"),
+        pick(F.lit("accepted"), F.when(F.col("m.text").contains(PLACEHOLDER), "partial").otherwise("accepted"), F.lit("accepted"), F.lit("uncertain")).alias("status"),
+        F.round(pick(F.col("vote_confidence"), F.least("confidence1", "confidence2") * F.col("m.similarity"), F.col("best_confidence"), F.lit(0.0)), 4).alias("confidence"),
+        pick(F.lit("accepted:multiview"), F.lit("masked:multiview_disagreement"), F.lit("accepted:single_view_short_high_confidence"), F.lit("uncertain:single_view_long_or_low_confidence")).alias("reason"),
+    )
+
+
 def voted_chars(slots: DataFrame, key: list[str], *, least: float = 0.5) -> DataFrame:
     """The character that two recognisers at least agree on (sure enough, but for `medium`); else a placeholder with 0."""
     votes = slots.filter("length(char) = 1").filter((F.col("source") == "medium") | (F.col("score") >= least)).groupBy(*key, "char").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.min("score").alias("score"))

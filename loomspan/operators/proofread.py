@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import PLACEHOLDER, VARIANTS
+from loomspan.operators.relational import latest_per
 
 # Plain numerals and the forms that documents use instead.
 NUMERAL_FORMS = dict(zip("一二三四五六七八九十百千", "壹貳叁肆伍陸柒捌玖拾佰仟", strict=True))
@@ -65,6 +66,30 @@ def refreshed(items: DataFrame, parent: str) -> DataFrame:
     return items.withColumn("refreshed", F.lag("id").over(order).isNull() | (F.lag("created_at").over(order) != F.col("created_at")))
 
 
+def reprocessed(images: DataFrame, results: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The latest finished result of each image, overwritten by a fresh recognition; what a person corrected stays.
+
+    images: id, path; fresh: image_id, text, new_confidence, ok.  Returns all images as image_id, outcome (`skipped`
+    without a path or a finished result, `failed` if recognition failed, else `repaired`), and for repaired ones id,
+    raw_text (a placeholder for a blank text), corrected_text, human_corrected and confidence.
+    """
+    latest = latest_per(results.filter("status = 'done'"), "image_id").withColumn("correction", legacy_correction(results))
+    rows = images.select(F.col("id").alias("image_id"), "path").join(latest.select("image_id", "id", "correction"), "image_id", "left").join(fresh, "image_id", "left")
+    outcome = F.when(F.col("path").isNull() | F.col("id").isNull(), "skipped").when(~F.coalesce("ok", F.lit(False)), "failed").otherwise("repaired")
+    done = lambda c: F.when(F.col("outcome") == "repaired", c)
+    text = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit(PLACEHOLDER))
+    rows = rows.withColumn("outcome", outcome)
+    return rows.select("image_id", "outcome", done(F.col("id")).alias("id"), done(text).alias("raw_text"), done(F.col("correction")).alias("corrected_text"), done(F.col("correction").isNotNull()).alias("human_corrected"), done(F.col("new_confidence")).alias("confidence"))
+
+
+def char_shares(df: DataFrame, column: str) -> DataFrame:
+    """chars, placeholders, placeholder_rate and visible of a text, blanks aside."""
+    shown = F.regexp_replace(F.coalesce(column, F.lit("")), r"\s", "")
+    n = F.length(shown)
+    held = n - F.length(F.replace(shown, F.lit(PLACEHOLDER), F.lit("")))
+    return df.withColumns({"chars": n, "placeholders": held, "placeholder_rate": F.round(held / F.greatest(n, F.lit(1)), 4), "visible": (n - held) > 0})
+
+
 def run_counters(outcomes: DataFrame) -> DataFrame:
     """scanned, repaired, skipped, failed of a run, in one pass."""
     count = lambda what: F.coalesce(F.sum((F.col("outcome") == what).cast("long")), F.lit(0)).alias(what)

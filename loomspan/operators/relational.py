@@ -104,3 +104,83 @@ def merged_edits(kept: DataFrame, edits: DataFrame, keys: list[str]) -> DataFram
     """Corrected segments: an edit replaces the text of its segment, new ones are added; order by segment."""
     both = kept.withColumn("_new", F.lit(0)).unionByName(edits.withColumn("_new", F.lit(1)))
     return first_seen(both, keys, [F.desc("_new")]).drop("_new")
+
+
+def page_with_total(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
+    """A page, and beside each of its rows the number of all rows, counted apart from it."""
+    return page(df, order, skip, limit).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+
+
+def taken(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Wanted values (id, value) with whether another row than that of the same id has the value."""
+    held = df.select(F.col("id").alias("_id"), F.col(column).alias("value"))
+    others = wanted.join(held, "value").filter("_id <> id").select("id").distinct().withColumn("taken", F.lit(True))
+    return wanted.join(others, "id", "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+
+
+def with_tenant(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Children whose parent exists, with its tenant."""
+    return children.join(parents.select(F.col("id").alias(key), "user_id"), key)
+
+
+def with_parent(children: DataFrame, parents: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Children, all of them, with columns of their parent; null where there is none."""
+    return children.join(parents.select(F.col("id").alias(key), *columns), key, "left")
+
+
+def bridged(bridge: DataFrame, structured: DataFrame, results: DataFrame, task: str) -> DataFrame:
+    """The documents of tasks: bridge (task, structured_id) to structured results to recognition results."""
+    rows = bridge.join(structured.select(F.col("id").alias("structured_id"), "ocr_result_id"), "structured_id")
+    return rows.join(results.select(F.col("id").alias("ocr_result_id"), "image_id", "confidence"), "ocr_result_id").select(task, "structured_id", "ocr_result_id", "image_id", "confidence")
+
+
+def zipped(df: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
+    """Elements of two arrays by place (key, pos, left, right), up to the end of the shorter one."""
+    n = F.least(F.size(left), F.size(right))
+    return df.select(*key, F.posexplode(F.arrays_zip(F.slice(left, F.lit(1), n).alias("a"), F.slice(right, F.lit(1), n).alias("b")))).select(*key, "pos", F.col("col.a").alias(left), F.col("col.b").alias(right))
+
+
+def last_of(df: DataFrame, key: str, value: str, order: Column) -> DataFrame:
+    """One value for each key: the last one written."""
+    return df.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def reopened(current: DataFrame, wanted: DataFrame, parent: str, now: datetime) -> DataFrame:
+    """For each wanted parent its latest row is reset to processing, or a new one made; other rows stay.
+
+    current has id, the parent's key, content, status and created_at.  New ids follow the greatest one.
+    """
+    wanted = wanted.select(parent).distinct()
+    reset = latest_per(current, parent).join(wanted, parent, "left_semi").select("id", F.lit(True).alias("_reset"))
+    fresh = {"content": F.lit("{}"), "status": F.lit("processing"), "created_at": F.lit(now)}
+    rows = current.join(reset, "id", "left")
+    rows = rows.withColumns({c: F.when(F.col("_reset"), v).otherwise(F.col(c)) for c, v in fresh.items()}).select(*current.columns)
+    top = F.broadcast(current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))
+    new = wanted.join(current.select(parent), parent, "left_anti").crossJoin(top).withColumns({"id": F.col("_top") + F.col(parent), **fresh})
+    return rows.unionByName(new.select(*current.columns))
+
+
+def created_task(task_id: int, user_id: int, wanted: DataFrame, structured: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """A task of a tenant and its links to structured results (wanted: structured_id).
+
+    Both are made or none: a result that doesn't exist raises LookupError, one of another tenant PermissionError.
+    """
+    known = wanted.select("structured_id").join(structured.select(F.col("id").alias("structured_id"), "user_id"), "structured_id", "left")
+    state = known.agg(F.sum(F.col("user_id").isNull().cast("int")).alias("missing"), F.sum((F.col("user_id") != user_id).cast("int")).alias("foreign")).first()
+    if state.missing:
+        raise LookupError(f"{state.missing} structured results don't exist")
+    if state.foreign:
+        raise PermissionError(f"{state.foreign} structured results belong to other tenants")
+    stamp = F.lit(now).alias("created_at")
+    task = wanted.sparkSession.range(1).select(F.lit(task_id).cast("long").alias("id"), F.lit(user_id).cast("long").alias("user_id"), stamp)
+    return task, wanted.select(F.lit(task_id).cast("long").alias("multi_task_id"), "structured_id", stamp)
+
+
+def cascade_counts(tables: list[tuple[str, DataFrame, str]], gone: DataFrame) -> DataFrame:
+    """How many rows of each table of a chain go (name, n) when the first one's parents in `gone` (id) go."""
+    out = None
+    for name, df, parent in tables:
+        gone = df.join(gone.select(F.col("id").alias(parent)).distinct(), parent, "left_semi").select("id")
+        one = gone.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import alignment, text
 from loomspan.functions.similarity import cosine
 from loomspan.operators import analysis, dashboard, layout, proofread, relational, retrieval
-from loomspan.sources import deeds
+from loomspan.sources import deeds, files, tables
 from loomspan.sources.deeds import SQL, table
 from loomspan.streaming import tasks
 
@@ -97,10 +97,11 @@ def st01_image_page(spark, d):
     return relational.page(deeds.images(spark, d), [F.desc("upload_time"), F.desc("id")], 40, 20).select("id", "user_id", "upload_time")
 
 
-@query("SELECT id, user_id, filename FROM i WHERE id = 7 AND user_id = (SELECT user_id FROM i WHERE id = 7)")
+@query("SELECT id, user_id, filename FROM i WHERE id = 7 AND user_id = (SELECT o_custkey FROM orders WHERE o_orderkey = 7)")
 def prj01_point_lookup(spark, d):
     images = deeds.images(spark, d)
-    return images.filter("id = 7").join(images.filter("id = 7").select("user_id"), "user_id").select("id", "user_id", "filename")
+    owner = images.filter("id = 7").select("user_id").first()
+    return relational.point(images, 7, owner.user_id if owner else -1).select("id", "user_id", "filename")
 
 
 @query("SELECT id, image_id FROM r WHERE status = 'done' AND raw_text IS NOT NULL AND confidence >= 0.95")
@@ -127,16 +128,23 @@ def prj10_empty_tokens(spark, d):
     return facts(spark, d).select("id", *[text.is_empty(F.col("location"), getattr(text, n)).alias(n.lower()) for n in names])
 
 
-@query("SELECT c_custkey AS id, regexp_full_match(c_name, '[A-Za-z0-9_#]{3,32}') AS valid FROM customer", model=False)
+NAMES = "CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN 'user_' || c_custkey WHEN 2 THEN 'ab' WHEN 3 THEN '地契' || c_custkey WHEN 4 THEN repeat('x', CAST(c_custkey % 40 AS INT)) ELSE 'a b' END"
+
+
+@query(f"SELECT c_custkey AS id, length(n) BETWEEN 3 AND 32 AND regexp_full_match(n, '[A-Za-z0-9_一-鿿]+') AS valid, length(left(c_mktsegment, (c_custkey % 12)::INTEGER)) >= 8 AS valid_password FROM (SELECT *, {NAMES} AS n FROM customer)", model=False)
 def prj12_username_rule(spark, d):
-    return deeds.users(spark, d).select("id", proofread.valid_username(F.replace("username", F.lit("#"), F.lit("_"))).alias("valid"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(NAMES).alias("name"), F.expr("left(c_mktsegment, CAST(c_custkey % 12 AS INT))").alias("password"))
+    return rows.select("id", proofread.valid_username(F.col("name")).alias("valid"), proofread.valid_password(F.col("password")).alias("valid_password"))
+
+
+UPLOADS = "'/a.b/f' || page_id || CASE page_id % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.txt' WHEN 3 THEN '' WHEN 4 THEN '.webp' ELSE '.x.tif' END"
 
 
-@query(r"SELECT page_id, regexp_extract(lower(split_part(url, '?', 1)), '\.([a-z0-9]+)$', 1) AS ext, strlen(html)::BIGINT AS bytes, strlen(html) = 0 AS blank, strlen(html) > 2000 AS too_large FROM pages", model=False)
+@query(f"""SELECT page_id, CASE WHEN NOT lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('jpg', 'jpeg', 'png', 'webp', 'bmp', 'tif', 'tiff') THEN 'type' WHEN length = 0 THEN 'empty' WHEN length > 2000 THEN 'too large' END AS refused
+    FROM (SELECT page_id, {UPLOADS} AS path, CASE WHEN page_id % 4 = 0 THEN 0 ELSE strlen(html) END AS length FROM pages)""", model=False)
 def prj13_upload_gate(spark, d):
-    size = F.octet_length("html").cast("long")
-    ext = F.regexp_extract(F.lower(F.split_part(F.col("url"), F.lit("?"), F.lit(1))), r"\.([a-z0-9]+)$", 1)
-    return table(spark, d, "pages").select("page_id", ext.alias("ext"), size.alias("bytes"), (size == 0).alias("blank"), (size > 2000).alias("too_large"))
+    size = F.when(F.col("page_id") % 4 == 0, 0).otherwise(F.octet_length("html"))
+    return files.gated(table(spark, d, "pages").select("page_id", F.expr(UPLOADS).alias("path"), size.alias("length")), most=2000).select("page_id", "refused")
 
 
 @query(r"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]', '', 'g')) > 588 THEN 'hard_reject:too_long:' || length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) || '>588' END AS reason FROM documents", model=False)
@@ -192,9 +200,10 @@ def src13_vector_upsert_delete(spark, d):
     return relational.delete(left, rows.filter("vec_id % 7 = 0"), "vec_id").select("vec_id", "label", "version")
 
 
-@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label", model=False)
+@query("SELECT 'all' AS name, count(*) AS n FROM embeddings UNION ALL SELECT 'odd', count(*) FROM embeddings WHERE vec_id % 2 = 1", model=False)
 def src15_vector_count(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.create_map(F.lit("parity"), (F.col("vec_id") % 2).cast("string")).alias("metadata"))
+    return spark.createDataFrame([("all", tables.count_vectors(rows)), ("odd", tables.count_vectors(rows, {"parity": "1"}))], "name string, n long")
 
 
 @query(
@@ -240,10 +249,10 @@ def set06_merge_edits(spark, d):
     return relational.merged_edits(turns, turns.filter("turn % 2 = 0").withColumn("text", F.concat(F.lit("edited: "), "text")), ["conv_id", "turn"])
 
 
-@query("SELECT id, len(string_split(filename, '_')) AS parts, string_split(regexp_replace(filename, '[^0-9]', '', 'g'), '·')[1]::INTEGER AS first FROM i ORDER BY first, id LIMIT 50")
+@query("SELECT id, image_id, key, row_number() OVER (PARTITION BY image_id ORDER BY string_split(key, '·')[1]::INTEGER, string_split(key, '·')[2]::INTEGER, id) AS pos FROM (SELECT id, image_id, l_partkey % 13 || '·' || l_suppkey % 120 AS key FROM r)")
 def st07_natural_order(spark, d):
-    key = text.natural_key(F.regexp_replace("filename", "[^0-9]", ""))
-    return deeds.images(spark, d).select("id", F.size(F.split("filename", "_")).cast("long").alias("parts"), key[0].alias("first")).orderBy("first", "id").limit(50)
+    rows = deeds.results(spark, d).select("id", "image_id", F.concat_ws("·", F.col("l_partkey") % 13, F.col("l_suppkey") % 120).alias("key"))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("image_id").orderBy(text.natural_key(F.col("key")), "id")))
 
 
 # C2: dashboard -------------------------------------------------------------------------------------------------------
@@ -254,12 +263,12 @@ def ag05_year_histogram(spark, d):
     return dashboard.years(facts(spark, d))
 
 
-@query("SELECT location AS name, count(*) AS n FROM f WHERE location NOT IN ('未识别') GROUP BY location ORDER BY n DESC, name LIMIT 10")
+@query("SELECT location AS name, count(*) AS n FROM f WHERE location NOT IN ('未识别') GROUP BY location ORDER BY n DESC, min(id) LIMIT 10")
 def ag06_top_places(spark, d):
     return dashboard.places(facts(spark, d))
 
 
-@query("SELECT name, count(*) AS n FROM (SELECT seller AS name FROM f UNION ALL SELECT buyer FROM f UNION ALL SELECT middleman FROM f) WHERE name IS NOT NULL AND name <> '未识别' GROUP BY name ORDER BY n DESC, name LIMIT 10")
+@query("SELECT name, count(*) AS n FROM (SELECT id * 3 AS seen, seller AS name FROM f UNION ALL SELECT id * 3 + 1, buyer FROM f UNION ALL SELECT id * 3 + 2, middleman FROM f) WHERE name IS NOT NULL AND name <> '未识别' GROUP BY name ORDER BY n DESC, min(seen) LIMIT 10")
 def ag07_top_people(spark, d):
     return dashboard.people(facts(spark, d))
 
@@ -342,26 +351,15 @@ def gr02_density(spark, d):
     return analysis.density(analysis.relation_edges(analysis.mentions(facts(spark, d))))
 
 
-def _small_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Trades between nations: a graph with triangles."""
-    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("d"), F.dayofyear("o_orderdate") % 40).alias("dst"), F.concat(F.lit("s"), F.col("o_orderkey") % 30).alias("third"))
-    return rows.select("src", "dst").union(rows.select("dst", "third")).union(rows.select("src", "third")).distinct()
-
-
-SMALL = """g AS (SELECT 'n' || c_nationkey AS src, 'd' || dayofyear(o_orderdate) % 40 AS dst, 's' || o_orderkey % 30 AS third FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'),
-    u AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM g UNION ALL SELECT dst, third FROM g UNION ALL SELECT src, third FROM g UNION ALL SELECT dst, src FROM g UNION ALL SELECT third, dst FROM g UNION ALL SELECT third, src FROM g))"""
-
-
-@query(f"WITH {SMALL}, k AS (SELECT a, count(*) AS d FROM u GROUP BY a), t AS (SELECT x.a, count(*) AS t FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY x.a) SELECT k.a AS node, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clustering FROM k LEFT JOIN t ON t.a = k.a", model=False)
+@query(f"{PAIRS}, k AS (SELECT a, count(*) AS d FROM u GROUP BY a), t AS (SELECT x.a, count(*) AS t FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY x.a) SELECT k.a AS node, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clustering FROM k LEFT JOIN t ON t.a = k.a")
 def gr03_clustering(spark, d):
-    return analysis.clustering(_small_graph(spark, d))
+    return analysis.clustering(analysis.relation_edges(analysis.mentions(facts(spark, d))))
 
 
 @query()
 def gr04_network_of_tasks(spark, d):
-    edges = _small_graph(spark, d).withColumn("task", F.lit(1).cast("long"))
-    return analysis.network_of_tasks(edges, "task")
+    """Each user's deeds are a task; tests hold the measures of a graph against plain definitions."""
+    return analysis.network_of_tasks(analysis.edges_of_tasks(analysis.mentions(facts(spark, d)), "user_id"), "user_id")
 
 
 @query(
@@ -384,13 +382,15 @@ def jn19_entity_resolution(spark, d):
 
 
 @query(
-    """SELECT p_partkey, p_name, s_name, CASE WHEN p_name = s_name THEN 1.0 ELSE round(1 - levenshtein(p_name, s_name) / greatest(length(p_name), length(s_name)), 6) END AS edit_similarity FROM part JOIN supplier ON s_suppkey = p_partkey % 100""",
+    """SELECT p_partkey, p_name, s_name, CASE WHEN p_name = s_name THEN 1.0 ELSE round(1 - levenshtein(p_name, s_name) / greatest(length(p_name), length(s_name)), 6) END AS edit_similarity FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT max(s_suppkey) + 1 FROM supplier)""",
     model=False,
 )
 def fn01_edit_similarity(spark, d):
     from loomspan.functions.similarity import edit_similarity
 
-    joined = table(spark, d, "part").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("p_partkey") % 100)
+    suppliers = table(spark, d, "supplier")
+    most = F.broadcast(suppliers.agg((F.max("s_suppkey") + 1).alias("most")))
+    joined = table(spark, d, "part").crossJoin(most).join(suppliers, F.col("s_suppkey") == F.col("p_partkey") % F.col("most"))
     return joined.select("p_partkey", "p_name", "s_name", F.round(edit_similarity(F.col("p_name"), F.col("s_name")), 6).alias("edit_similarity"))
 
 
@@ -469,7 +469,7 @@ def ag24_text_vote(spark, d):
     return layout.voted(rows, ["page"]).withColumn("confidence", F.col("confidence").cast("double"))
 
 
-@query(f"{SEGMENTS} SELECT page, CASE WHEN count(*) % 2 = 1 THEN median(score) ELSE median(score) END AS median_score FROM s GROUP BY page", model=False)
+@query(f"{SEGMENTS} SELECT page, median(score) AS median_score FROM s GROUP BY page", model=False)
 def ag22_median(spark, d):
     return segments(spark, d).groupBy("page").agg(F.coalesce(F.median("score"), F.lit(0.0)).alias("median_score"))
 
@@ -628,25 +628,41 @@ def prj20_tone(spark, d):
     return segments(spark, d).select("page", "seg", proofread.tone(status, F.col("text")).alias("tone"))
 
 
-@query(f"{SEGMENTS} SELECT page, seg, text <> '□' AND true AS usable FROM s", model=False)
+ODD_TEXT = "CASE (page + seg) % 8 WHEN 0 THEN '立契' WHEN 1 THEN 'A立契' WHEN 2 THEN '12' WHEN 3 THEN '123456' WHEN 4 THEN '□□立' WHEN 5 THEN ' ' WHEN 6 THEN '立 □' ELSE '，。立' END"
+
+
+@query(
+    f"""{SEGMENTS} SELECT page, seg, t <> '' AND NOT regexp_matches(t, '[A-Za-z]') AND NOT (regexp_full_match(t, '[0-9]{{1,5}}') AND (x1 < 80 OR x2 > 920)) AND len(regexp_replace(t, '[^0-9一-鿿]', '', 'g')) / greatest(len(t), 1) >= 0.5 AS usable
+    FROM (SELECT *, regexp_replace({ODD_TEXT}, '\\s', '', 'g') AS t FROM s)""",
+    model=False,
+)
 def prj14_usable_text(spark, d):
-    return segments(spark, d).select("page", "seg", text.usable(F.col("text"), F.col("x1"), F.col("x2"), F.lit(1000)).alias("usable"))
+    return segments(spark, d).select("page", "seg", text.usable(F.expr(ODD_TEXT), F.col("x1"), F.col("x2"), F.lit(1000)).alias("usable"))
 
 
-@query(f"{SEGMENTS} SELECT page, seg, length(replace(text, '□', '')) > 0 AS visible, text <> '□' AS single FROM s", model=False)
+@query(f"{SEGMENTS} SELECT page, seg, length(t) AS chars, length(t) - length(replace(t, '□', '')) AS placeholders, round((length(t) - length(replace(t, '□', ''))) / greatest(length(t), 1), 4) AS placeholder_rate, length(replace(t, '□', '')) > 0 AS visible, regexp_full_match(o, '[0-9一-鿿]') AS single FROM (SELECT *, {ODD_TEXT} AS o, regexp_replace({ODD_TEXT}, '\\s', '', 'g') AS t FROM s)", model=False)
 def prj22_visible_chars(spark, d):
-    shown = F.length(F.replace("text", F.lit("□"), F.lit("")))
-    return segments(spark, d).select("page", "seg", (shown > 0).alias("visible"), F.col("text").rlike(r"^[0-9\x{4e00}-\x{9fff}]$").alias("single"))
+    rows = proofread.char_shares(segments(spark, d).withColumn("odd", F.expr(ODD_TEXT)), "odd")
+    return rows.select("page", "seg", "chars", "placeholders", "placeholder_rate", "visible", text.single_visible(F.col("odd")).alias("single"))
+
+
+FUSED = "left(coalesce(text, ''), CAST(doc_id % 9 * 100 AS INT)) || CASE WHEN doc_id % 4 = 0 THEN '今因移就三面言定親手領訖任從買主陰陽兩便百為無阻' ELSE '' END"
+_BARE = "regexp_replace({}, '[ \\t\\n\\x0B\\f\\r]', '', 'g')"
 
 
 @query(
-    """SELECT doc_id, CASE WHEN n > 588 OR (n > 0 AND 0.3 < 0.45) THEN 'filtered' ELSE 'kept' END AS outcome FROM (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS n FROM documents)""",
+    f"""SELECT doc_id, CASE WHEN too_long OR invented OR (density >= 5 AND c < 0.75) THEN 'trusted' WHEN n > 0 AND c < 0.45 THEN 'agreed' ELSE 'fused' END AS outcome,
+    too_long::INTEGER + invented::INTEGER + (density >= 5 AND c < 0.75)::INTEGER AS hard FROM (
+    SELECT doc_id, c, n, n > 588 AS too_long, CASE WHEN n = 0 THEN false ELSE greatest(n - k, 0) / n > 0.12 END AS invented,
+      CASE WHEN n = 0 THEN 0 ELSE CASE WHEN doc_id % 4 = 0 THEN 6 ELSE 0 END / greatest(n / 120, 1) END AS density FROM (
+    SELECT doc_id, doc_id % 10 / 10 AS c, length({_BARE.format(FUSED)}) AS n, length({_BARE.format("left(coalesce(text, ''), CAST(doc_id % 9 * 95 AS INT))")}) AS k FROM documents))""",
     model=False,
 )
 def prj16_invented_text(spark, d):
-    shown, reasons = text.filtered_text(F.col("text"), F.col("text"), F.lit(0.3), F.lit("agreed"))
-    rows = table(spark, d, "documents").select("doc_id", reasons.alias("why"), shown.alias("shown"))
-    return rows.select("doc_id", F.when(F.size("why") > 0, "filtered").otherwise("kept").alias("outcome"))
+    rows = table(spark, d, "documents").select("doc_id", F.expr(FUSED).alias("fused"), F.expr("left(coalesce(text, ''), CAST(doc_id % 9 * 95 AS INT))").alias("trusted"), (F.col("doc_id") % 10 / 10).alias("c"))
+    _, reasons = text.filtered_text(F.col("fused"), F.col("trusted"), F.col("c"), F.lit("agreed"))
+    low = F.exists(reasons, lambda r: r.startswith("hard_reject:low_model_agreement"))
+    return rows.select("doc_id", F.when(low, "agreed").when(F.size(reasons) > 0, "trusted").otherwise("fused").alias("outcome"), F.when(low, 0).otherwise(F.size(reasons)).alias("hard"))
 
 
 @query("SELECT id, status FROM r WHERE image_id IN (3, 5, 8, 13) AND status <> 'failed'")
@@ -661,11 +677,11 @@ def prj04_others_alike(spark, d):
     return users.join(counts, "nation").filter("same_nation > 0").select("id", "same_nation")
 
 
-@query("SELECT id % 97 AS task, count(*) AS n_docs, min(image_id) AS first_image FROM f GROUP BY 1")
+@query("SELECT event_id, task, f.id AS structured_id, f.ocr_result_id, r.image_id, r.confidence FROM (SELECT event_id, user_id % 97 AS task, event_id % 5000 * 10 + event_id % 7 + 6 AS sid FROM events) e JOIN f ON f.id = e.sid JOIN r ON r.id = f.ocr_result_id")
 def jn04_bridge(spark, d):
-    structured = deeds.contents(spark, d)
-    bridge = structured.select((F.col("id") % 97).alias("task"), F.col("id").alias("structured_id"))
-    return bridge.join(structured.select(F.col("id").alias("structured_id"), "image_id"), "structured_id").groupBy("task").agg(F.count("*").alias("n_docs"), F.min("image_id").alias("first_image"))
+    bridge = table(spark, d, "events").select(F.col("event_id"), (F.col("user_id") % 97).alias("task"), (F.col("event_id") % 5000 * 10 + F.col("event_id") % 7 + 6).alias("structured_id"))
+    keyed = bridge.withColumn("task", F.struct("event_id", "task"))
+    return relational.bridged(keyed, deeds.contents(spark, d), deeds.results(spark, d), "task").select("task.event_id", "task.task", "structured_id", "ocr_result_id", "image_id", "confidence")
 
 
 @query(
@@ -718,10 +734,10 @@ def ag28_run_counters(spark, d):
     return proofread.run_counters(deeds.results(spark, d).select(outcome.alias("outcome")))
 
 
-@query("SELECT page_id, length(html) AS chars, round((length(html) - length(replace(html, 'e', ''))) / greatest(length(html), 1), 6) AS share FROM pages", model=False)
+@query("SELECT page_id, length(t) AS chars, length(t) - length(replace(t, '□', '')) AS placeholders, round((length(t) - length(replace(t, '□', ''))) / greatest(length(t), 1), 4) AS placeholder_rate, length(replace(t, '□', '')) > 0 AS visible FROM (SELECT page_id, regexp_replace(replace(html, 'e', '□'), '[ \\t\\n\\x0B\\f\\r]', '', 'g') AS t FROM pages)", model=False)
 def ag30_char_shares(spark, d):
-    n = F.length("html")
-    return table(spark, d, "pages").select("page_id", n.alias("chars"), F.round((n - F.length(F.replace("html", F.lit("e"), F.lit("")))) / F.greatest(n, F.lit(1)), 6).alias("share"))
+    rows = table(spark, d, "pages").select("page_id", F.replace("html", F.lit("e"), F.lit("□")).alias("html"))
+    return proofread.char_shares(rows, "html").drop("html")
 
 
 @query("SELECT id, image_id, coalesce(lag(id) OVER w IS NULL OR lag(created_at) OVER w <> created_at, true) AS refreshed FROM r WINDOW w AS (PARTITION BY image_id ORDER BY id)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,31 @@ def matched_truth(results: DataFrame, truth: DataFrame, *, pattern: str = r"(\d+
     return latest.join(truth.select("key", F.col("body").alias("truth")), "key")
 
 
+def first_match(results: DataFrame, keys: DataFrame, *, pattern: str = r"(\d+\.\d+)") -> DataFrame:
+    """For each key (dots for ·) the first result by id whose filename's first number is the key."""
+    named = results.withColumn("prefix", F.regexp_extract(F.lower("filename"), pattern, 1)).filter("prefix <> ''")
+    first = named.groupBy("prefix").agg(F.min("id").alias("id"))
+    return keys.withColumn("prefix", F.replace("key", F.lit("·"), F.lit("."))).join(first, "prefix").drop("prefix")
+
+
+def event_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows as server-sent events: one `data:` line of JSON each; letters beyond ASCII stay as they are."""
+    return rows.withColumn("event", F.concat(F.lit("data: "), F.to_json(F.struct(*columns))))
+
+
+def event_stream(lines: DataFrame, order: list[str]) -> Iterator[str]:
+    """The events in order, a partition at a time, and the closing one."""
+    for row in lines.orderBy(*order).select("event").toLocalIterator():
+        yield row.event + "\n\n"
+    yield "data: [DONE]\n\n"
+
+
+def log_lines(rows: DataFrame, logger: str, message: str, extra: list[str]) -> DataFrame:
+    """Structured log lines as JSON: time, level, logger, message, and extra fields that aren't null."""
+    fields = [F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), "level", F.lit(logger).alias("logger"), F.lit(message).alias("message"), *extra]
+    return rows.withColumn("line", F.to_json(F.struct(*fields)))
+
+
 def report(rows: DataFrame, summary: DataFrame, path: str) -> None:
     """A report as JSON lines: what was measured, and its summary.  Letters beyond ASCII stay as they are."""
     rows.write.mode("overwrite").json(f"{path}/rows")

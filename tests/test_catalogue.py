@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from loomspan.plans import catalogue
+from loomspan.plans import catalogue, records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

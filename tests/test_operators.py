@@ -1,15 +1,21 @@
+import itertools
 import json
 import os
+import random
 from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions import alignment
 from loomspan.operators import analysis, layout, relational, retrieval
+from loomspan.plans import catalogue
 from loomspan.sources import files, providers, tables
 from loomspan.streaming import tasks
 
+SF = "/root/testdata/sf0.001"
+
 
 def rows(df):
     return sorted(map(tuple, df.collect()))
@@ -149,3 +155,143 @@ def test_streams(spark, tmp_path):
     before = spark.createDataFrame([(1, "pending", 0), (2, "pending", 2), (3, "done", 0), (4, "pending", 0)], "id int, status string, tries int")
     outcomes = spark.createDataFrame([(1, True), (1, False), (2, False), (3, False)], "id int, ok boolean")
     assert rows(tasks.advanced(before, outcomes)) == [(1, "done", 1), (2, "failed", 3), (3, "done", 0), (4, "pending", 0)]
+
+
+def test_created_task_is_whole_or_not(spark):
+    now = datetime(2024, 1, 1)
+    structured = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "id long, user_id long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "structured_id long")
+    task, links = relational.created_task(50, 7, ids(1, 2), structured, now)
+    assert [tuple(r) for r in task.collect()] == [(50, 7, now)] and sorted(r.structured_id for r in links.collect()) == [1, 2]
+    with pytest.raises(LookupError):
+        relational.created_task(50, 7, ids(1, 9), structured, now)
+    with pytest.raises(PermissionError):
+        relational.created_task(50, 7, ids(1, 3), structured, now)
+
+
+def test_event_stream_in_order(spark):
+    rows = spark.createDataFrame([(2, "契"), (1, "a"), (3, None)], "n int, text string")
+    assert list(files.event_stream(files.event_lines(rows, ["text"]), ["n"])) == ['data: {"text":"a"}\n\n', 'data: {"text":"契"}\n\n', "data: {}\n\n", "data: [DONE]\n\n"]
+
+
+def test_consensus_fallbacks(spark):
+    rows = [
+        ("vote", 1, "v1", "立契人", 0.9), ("vote", 2, "v2", "立契人", 0.8), ("vote", 3, "v3", "立书人", 0.99),
+        ("mask", 1, "v1", "立賣契人張三", 0.9), ("mask", 2, "v2", "立買契人張三", 0.8),
+        ("short", 1, "v1", "立契", 0.8), ("short", 2, "v2", "", 0.1),
+        ("long", 1, "v1", "立契人張三今因移就", 0.9),
+        ("unsure", 1, "v1", "立契", 0.5),
+        ("apart", 1, "v1", "甲乙丙", 0.8), ("apart", 2, "v2", "丁戊己", 0.7),
+        ("blank", 1, "v1", "□", 0.2),
+    ]
+    df = spark.createDataFrame([(k, s, v, t, c, c) for k, s, v, t, c in rows], "slot string, seg long, view string, text string, confidence double, score double")
+    got = {r.slot: (r.text, r.status, r.confidence) for r in layout.consensus(df, ["slot"]).collect()}
+    assert got == {
+        "vote": ("立契人", "accepted", 0.8),
+        "mask": ("立□契人張三", "partial", round(0.8 * 10 / 12, 4)),
+        "short": ("立契", "accepted", 0.8),
+        "long": ("□", "uncertain", 0.0),
+        "unsure": ("□", "uncertain", 0.0),
+        "apart": ("甲乙丙", "accepted", 0.8),
+        "blank": ("□", "uncertain", 0.0),
+    }
+
+
+def test_measures_of_graphs_against_plain_definitions():
+    """Betweenness by listing all shortest paths; communities: no join of two gains modularity any more."""
+    r = random.Random(3)
+    for _ in range(8):
+        names = [f"n{i}" for i in range(9)]
+        adjacent = {n: set() for n in names}
+        for a, b in itertools.combinations(names, 2):
+            if r.random() < 0.3:
+                adjacent[a].add(b)
+                adjacent[b].add(a)
+
+        def paths(a, b):
+            frontier = [[a]]
+            while frontier:
+                ends = [p for p in frontier if p[-1] == b]
+                if ends:
+                    return ends
+                seen = {x for p in frontier for x in p}
+                frontier = [[*p, n] for p in frontier for n in adjacent[p[-1]] if n not in p and n not in seen - {n}]
+            return []
+
+        expected = dict.fromkeys(names, 0.0)
+        for a, b in itertools.permutations(names, 2):
+            found = paths(a, b)
+            for n in names:
+                if found and n not in (a, b):
+                    expected[n] += sum(n in p for p in found) / len(found) / (8 * 7)
+        got = analysis.betweenness(adjacent)
+        assert all(abs(got[n] - expected[n]) < 1e-9 for n in names)
+        part = analysis.communities(adjacent)
+        links = sum(map(len, adjacent.values())) / 2
+        for a, b in itertools.combinations(set(part.values()), 2):
+            between = sum(part[x] == a and part[y] == b for x in names for y in adjacent[x])
+            degree = [sum(len(adjacent[x]) for x in names if part[x] == k) for k in (a, b)]
+            assert not links or between / links - degree[0] * degree[1] / (2 * links * links) <= 1e-9
+
+
+def test_layout_queries_against_plain_loops(spark):
+    """Every page of the test tables: duplicates dropped from the surest on, clusters, reading order."""
+    rows = catalogue.segments(spark, SF).collect()
+    pages = {}
+    for x in rows:
+        pages.setdefault(x.page, []).append(x)
+
+    def over(a, b):
+        w, h = min(a.x2, b.x2) - max(a.x1, b.x1), min(a.y2, b.y2) - max(a.y1, b.y1)
+        inner = max(0, w) * max(0, h)
+        one, two = (max(1, (s.x2 - s.x1) * (s.y2 - s.y1)) for s in (a, b))
+        return inner / (one + two - inner), inner / min(one, two)
+
+    clusters, kept = {}, {}
+    for page, own in pages.items():
+        own = sorted(sorted(own, key=lambda s: s.seg), key=lambda s: -s.score)
+        groups, stay = [], []
+        for s in own:
+            home = next((g for g in groups if any(over(s, m)[0] >= 0.45 or over(s, m)[1] >= 0.72 for m in g)), None)
+            groups.append([s]) if home is None else home.append(s)
+            if all(over(s, m)[0] < 0.85 for m in stay):
+                stay.append(s)
+        clusters |= {(page, m.seg): k for k, g in enumerate(groups) for m in g}
+        shapes = sorted((s.y2 - s.y1) / (s.x2 - s.x1) for s in stay)
+        middle = lambda v: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+        upright = middle(shapes) >= 1.15
+        lo, hi, cross = ("x1", "x2", "y1") if upright else ("y1", "y2", "x1")
+        near = max(18.0, 25.0, 1.5 * middle(sorted(getattr(s, hi) - getattr(s, lo) for s in stay)))
+        lines = []
+        for s in sorted(stay, key=lambda s: (getattr(s, lo) + getattr(s, hi)) / 2 * (-1 if upright else 1)):
+            c = (getattr(s, lo) + getattr(s, hi)) / 2
+            line = next((x for x in lines if abs(c - sum(x[0]) / len(x[0])) <= near), None)
+            if line is None:
+                lines.append(([c], [s]))
+            else:
+                line[0].append(c)
+                line[1].append(s)
+        lines.sort(key=lambda x: sum(x[0]) / len(x[0]) * (-1 if upright else 1))
+        order = [s for _, line in lines for s in sorted(line, key=lambda s: (getattr(s, cross), stay.index(s)))]
+        kept |= {(page, s.seg): (p, "vertical" if upright else "horizontal") for p, s in enumerate(order)}
+    assert {(r.page, r.seg): r.cluster for r in catalogue.jn21_clusters(spark, SF).collect()} == clusters
+    assert {(r.page, r.seg): (r.order_index, r.layout_orientation) for r in catalogue.st06_reading_order(spark, SF).collect()} == kept
+
+
+def test_text_measures_against_plain_tables(spark):
+    """ev01, ag18, ag27, ag26 from edit tables filled cell by cell."""
+    rows = [("立契人張三", "立契張三三"), ("abc", ""), ("", "x"), ("同同", "同同"), ("一二三", "壹二四")]
+    df = spark.createDataFrame(rows, "guess string, truth string")
+    measured = alignment.char_measures(df, "guess", "truth")
+    for r in measured.collect():
+        a, b = r.truth, r.guess
+        cost = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        shared = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                shared[i][j] = shared[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(shared[i - 1][j], shared[i][j - 1])
+        own = r.asDict()
+        assert own["edit_distance"] == cost[-1][-1] and own["lcs_len"] == shared[-1][-1], own
+    pairs = {(r.truth, r.guess): r.n for r in alignment.confusions(df, "guess", "truth").collect()}
+    assert pairs.get(("四", "三")) == 1 and pairs.get(("壹", "一")) == 1
