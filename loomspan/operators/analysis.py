@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from loomspan.functions.similarity import person_similarity
 from loomspan.functions.people import score_people
 from loomspan.functions.text import EMPTY_ANALYSIS, is_empty, normal_place, present, price, split_people, surname
 from loomspan.operators.grouped import per_group
+from loomspan.streaming.tasks import saved
 
 ROLES = ("seller", "buyer", "middleman")
 #: Least score at which a mention joins an entity.
@@ -149,9 +149,9 @@ def relation_edges(said: DataFrame) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Each pair of neighbours in both orders, once."""
-    a = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return a.union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).filter("a <> b").distinct()
+    """Each pair of neighbours in both orders, once; the edges are read once."""
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    return edges.filter("src <> dst").select(F.explode(F.array(pair("src", "dst"), pair("dst", "src"))).alias("p")).select("p.*").distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -162,12 +162,16 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    """Clustering coefficient of each node: triangles over pairs of neighbours.  Each edge points to the node of more neighbours, so that hubs spread few."""
-    both = undirected(edges)
+    """Clustering coefficient of each node: triangles over pairs of neighbours.
+
+    Each edge points to the node of more neighbours, so that hubs spread few, and of two edges from a node only the
+    pair in that order is looked up.  The neighbours are saved once: five branches read them.
+    """
+    both = saved(undirected(edges), "neighbours")
     degree = both.groupBy("a").agg(F.count("*").alias("d"))
     ranked = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
-    up = ranked.filter("d < e or (d = e and a < b)").select("a", "b")
-    wedge = up.alias("x").join(up.alias("y"), F.col("x.a") == F.col("y.a")).filter("x.b <> y.b").select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("y.b").alias("c"))
+    up = saved(ranked.filter("d < e or (d = e and a < b)").select("a", "b", "e"), "upward")
+    wedge = up.alias("x").join(up.alias("y"), F.col("x.a") == F.col("y.a")).filter("x.e < y.e or (x.e = y.e and x.b < y.b)").select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("y.b").alias("c"))
     triangle = wedge.join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
     corner = triangle.select(F.explode(F.array("a", "b", "c")).alias("a")).groupBy("a").agg(F.count("*").alias("t"))
     return degree.join(corner, "a", "left").select(F.col("a").alias("node"), F.round(F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0), 6).alias("clustering"))
