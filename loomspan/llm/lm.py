@@ -169,7 +169,7 @@ def refined(state: list[np.ndarray], contexts: DataFrame, size: int, unigram: np
                 steps = -(-times // TOGETHER)
                 each = np.repeat(keys, steps)
                 own = np.stack([each // size**2, each // size % size, each % size], 1)
-                found = fit(own, size, weights=np.repeat(times / steps, steps), start=start, unigram=seen, epochs=1, seed=7 + part)
+                found = fit(own, size, weights=np.repeat(times / steps, steps), start=start, unigram=seen, epochs=1, batch=1024, rate=0.15, seed=7 + part)
                 yield batch_of(schema, [part], [int(times.sum())], [np.concatenate([np.ravel(x) for x in found]).astype(np.float32).tobytes()])
 
     rows = contexts.mapInArrow(run, "part int, n long, state binary").toArrow().sort_by("part")  # PARTS_MOST rows at most
@@ -215,47 +215,49 @@ def fit(contexts: np.ndarray, size: int, *, weights: np.ndarray | None = None, s
     if unigram is None:
         seen = np.bincount(contexts[:, 2], minlength=size) + 1.0 if len(contexts) else np.ones(size)
         unigram = seen / seen.sum()
-    weights = np.ones(len(contexts)) if weights is None else weights
-    usual = weights.mean() if len(weights) else 1.0
-    log_noise = np.log(unigram) + np.log(noise)
+    weights = np.ones(len(contexts), np.float32) if weights is None else weights.astype(np.float32)
+    usual = float(weights.mean()) if len(weights) else 1.0
+    log_noise = (np.log(unigram) + np.log(noise)).astype(np.float32)
+    up_to = np.cumsum(unigram)
     r, q = rng.normal(0, 0.1, (size, dims)), rng.normal(0, 0.1, (size, dims))
     c1, c2, b = np.eye(dims), 0.5 * np.eye(dims), np.log(unigram)
     gr, gq, gc1, gc2, gb = np.full(size, 1e-2), np.full(size, 1e-2), 1e-2, 1e-2, np.full(size, 1e-2)
     if start is not None:
         r, c1, c2, q, b, gr, gq, gc1, gc2, gb = (np.array(x, float) for x in start)
+    r, c1, c2, q, b = (x.astype(np.float32) for x in (r, c1, c2, q, b))
+    column = np.arange(dims)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    # sums of rows by class: one count over cells, which is faster than adding in place
+    by_class = lambda at, rows: np.bincount((at[:, None] * dims + column).ravel(), rows.ravel(), size * dims).reshape(size, dims)
     for _ in range(epochs):
         order = rng.permutation(len(contexts))
         for at in range(0, len(order), batch):
             v, u, w = contexts[order[at : at + batch]].T
             times = weights[order[at : at + batch]]
-            other = rng.choice(size, noise, p=unigram)
+            other = np.minimum(np.searchsorted(up_to, rng.random(noise)), size - 1)
             hidden = r[u] @ c1 + r[v] @ c2
-            true = sigmoid((hidden * q[w]).sum(1) + b[w] - log_noise[w]) - 1  # derivative by the score of the data
+            qw, qo = q[w], q[other]
+            true = sigmoid((hidden * qw).sum(1) + b[w] - log_noise[w]) - 1  # derivative by the score of the data
             true *= times
-            false = sigmoid(hidden @ q[other].T + b[other] - log_noise[other])  # and of the noise
+            false = sigmoid(hidden @ qo.T + (b[other] - log_noise[other]))  # and of the noise
             false *= times[:, None]
             n = len(v) * usual
-            dh = (true[:, None] * q[w] + false @ q[other]) / n
-            dq = np.zeros_like(q)
-            np.add.at(dq, w, true[:, None] * hidden / n)
-            np.add.at(dq, other, false.T @ hidden / n)
-            db = np.bincount(w, true / n, size) + np.bincount(other, false.sum(0) / n, size)
-            dr = np.zeros_like(r)
-            np.add.at(dr, u, dh @ c1.T)
-            np.add.at(dr, v, dh @ c2.T)
+            dh = (true[:, None] * qw + false @ qo) / n
+            dq = by_class(np.append(w, other), np.concatenate([true[:, None] * hidden, false.T @ hidden])) / n
+            db = (np.bincount(w, true, size) + np.bincount(other, false.sum(0), size)) / n
+            dr = by_class(np.append(u, v), np.concatenate([dh @ c1.T, dh @ c2.T]))
             d1, d2 = r[u].T @ dh, r[v].T @ dh
             gr += (dr * dr).mean(1)
             gq += (dq * dq).mean(1)
             gb += db * db
             gc1 += float((d1 * d1).mean())
             gc2 += float((d2 * d2).mean())
-            r -= rate * dr / np.sqrt(gr)[:, None]
-            q -= rate * dq / np.sqrt(gq)[:, None]
-            b -= rate * db / np.sqrt(gb)
-            c1 -= 0.1 * rate * d1 / np.sqrt(gc1)
-            c2 -= 0.1 * rate * d2 / np.sqrt(gc2)
-    return [r, c1, c2, q, b, gr, gq, gc1, gc2, gb]
+            r -= (rate * dr / np.sqrt(gr)[:, None]).astype(np.float32)
+            q -= (rate * dq / np.sqrt(gq)[:, None]).astype(np.float32)
+            b -= (rate * db / np.sqrt(gb)).astype(np.float32)
+            c1 -= (0.1 * rate / np.sqrt(gc1) * d1).astype(np.float32)
+            c2 -= (0.1 * rate / np.sqrt(gc2) * d2).astype(np.float32)
+    return [np.asarray(x, float) for x in (r, c1, c2, q, b, gr, gq, gc1, gc2, gb)]
 
 
 def lm_scores(docs: DataFrame, train_on: DataFrame, *, frequent: int = 60_000, own: int = 900, shared: int = 60, train_tokens: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
