@@ -19,11 +19,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis)) + np.squeeze(top, axis)
-
-
 class Tagger:
     """Tags: 0 outside, 1 + 2k begins kind k, 2 + 2k continues it."""
 
@@ -67,23 +62,27 @@ class Tagger:
         states = np.concatenate([forward, backward], 2)
         return states @ self.p["out"] + self.p["bias"], states, {"f": a, "b": b}
 
-    def _alphas(self, e: np.ndarray, moves: np.ndarray) -> np.ndarray:
-        a = np.empty_like(e)
-        a[0] = e[0] + self.first
-        for t in range(1, len(e)):
-            a[t] = _logsumexp(a[t - 1][:, :, None] + moves, 1) + e[t]
-        return a
-
-    def _betas(self, e: np.ndarray, moves: np.ndarray) -> np.ndarray:
-        b = np.zeros_like(e)
-        for t in range(len(e) - 2, -1, -1):
-            b[t] = _logsumexp(moves + (e[t + 1] + b[t + 1])[:, None, :], 2)
-        return b
+    def _sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward sums over tag paths, scaled to sum to 1 at each step; moves; and the log of the whole sum.
+
+        Forward times backward sums are the marginals.  The third array is what reaches a step's tags from the step
+        before, without the move: forward[t - 1] x moves x reach[t] are the marginals of two tags in a row.
+        """
+        moves, top = np.exp((self.p["trans"] + self.banned).astype(float)), e.max(2, keepdims=True)
+        x = np.exp(np.maximum(e - top, -200.0).astype(float))
+        a, b, scale = np.empty_like(x), np.ones_like(x), np.empty((*x.shape[:2], 1))
+        for t in range(len(x)):
+            at = x[t] * ((a[t - 1] @ moves) if t else np.exp(self.first.astype(float)))
+            scale[t] = at.sum(1, keepdims=True)
+            a[t] = at / scale[t]
+        x /= scale
+        for t in range(len(x) - 2, -1, -1):
+            b[t] = (x[t + 1] * b[t + 1]) @ moves.T
+        return a, b, x * b, (np.log(scale) + top).sum((0, 2))
 
     def marginals(self, e: np.ndarray) -> np.ndarray:
-        moves = self.p["trans"] + self.banned
-        a, b = self._alphas(e, moves), self._betas(e, moves)
-        return np.exp(a + b - _logsumexp(a[-1], 1)[:, None])
+        a, b, _, _ = self._sums(e)
+        return a * b
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of tag sequences y [T, B] and its gradients."""
@@ -91,30 +90,33 @@ class Tagger:
         steps, width = x.shape
         e, states, kept = self.emissions(x, keep=True)
         moves = p["trans"] + self.banned
-        a, b = self._alphas(e, moves), self._betas(e, moves)
-        z = _logsumexp(a[-1], 1)
-        at = np.arange(width)
-        gold = sum(e[t, at, y[t]] for t in range(steps)) + sum(moves[y[t - 1], y[t]] for t in range(1, steps))
-        de = np.exp(a + b - z[:, None])
+        a, b, reach, z = self._sums(e)
+        tag, pair = np.eye(self.tags, dtype=np.float32)[y], y[:-1] * self.tags + y[1:]
+        gold = (e * tag).sum((0, 2)) + moves.ravel()[pair].sum(0)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        for t in range(1, steps):
-            g["trans"] += np.exp(a[t - 1][:, :, None] + moves + (e[t] + b[t])[:, None, :] - z[:, None, None]).sum(0)
-            np.subtract.at(g["trans"], (y[t - 1], y[t]), 1)
-        for t in range(steps):
-            de[t, at, y[t]] -= 1
+        rows = lambda v: v.reshape(-1, v.shape[2])
+        g["trans"] += np.exp(moves) * (rows(a[:-1]).T @ rows(reach[1:]))
+        g["trans"] -= np.bincount(pair.ravel(), minlength=moves.size).reshape(moves.shape)
+        de = (a * b - tag).astype(np.float32)
         g["out"] = np.einsum("tbh,tbk->hk", states, de, optimize=True)
         g["bias"] = de.sum((0, 1))
         ds = de @ p["out"].T
+        symbol = np.eye(SYMBOLS, dtype=np.float32)[x.ravel()]
         for d, part in (("f", ds[:, :, :n]), ("b", ds[:, :, n:])):
             dh, dc = np.zeros((width, n), np.float32), np.zeros((width, n), np.float32)
-            dtable = np.zeros((SYMBOLS, 4 * n), np.float32)
+            held, before_of = np.empty((steps, width, 4 * n), np.float32), np.empty((steps, width, n), np.float32)
             for t, h, before, i, f, o, gg, tc in reversed(kept[d]):
                 dh = dh + part[t]
                 dc = dc + dh * o * (1 - tc * tc)
-                dz = np.concatenate([dc * gg * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)], 1)
-                g[f"h{d}"] += h.T @ dz
-                np.add.at(dtable, x[t], dz)
+                dz = held[t]
+                dz[:, :n] = dc * gg * i * (1 - i)
+                dz[:, n : 2 * n] = dc * before * f * (1 - f)
+                dz[:, 2 * n : 3 * n] = dh * tc * o * (1 - o)
+                dz[:, 3 * n :] = dc * i * (1 - gg * gg)
+                before_of[t] = h
                 dh, dc = dz @ p[f"h{d}"].T, dc * f
+            g[f"h{d}"] = rows(before_of).T @ rows(held)
+            dtable = symbol.T @ rows(held)
             g[f"z{d}"] = dtable.sum(0)
             g[f"x{d}"] = p["emb"].T @ dtable
             g["emb"] += dtable @ p[f"x{d}"].T
