@@ -77,7 +77,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def sample_contexts(docs: DataFrame, classes: Classes, share: float) -> DataFrame:
-    """(two back, one back, word) classes of a share of all tokens, picked at every place alike by a hash of text and place."""
+    """(two back, one back, word) classes of a share of all tokens, picked at every place alike by a hash of id, text and place."""
     held = docs.sparkSession.sparkContext.broadcast(classes)
     schema = pa.schema([("v", pa.int32()), ("u", pa.int32()), ("w", pa.int32())])
 
@@ -86,10 +86,11 @@ def sample_contexts(docs: DataFrame, classes: Classes, share: float) -> DataFram
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             found = []
-            for text in batch.column(1).to_pylist():
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 n = len(words) + 1
-                at = np.flatnonzero(np.random.default_rng(zlib.crc32(text.encode())).random(n) < share)
+                seed = [(doc_id or 0) % 2**63, zlib.crc32(text.encode())]  # copies of a text each get places of their own
+                at = np.flatnonzero(np.random.default_rng(seed).random(n) < share)
                 for i in at.tolist():
                     found.append([class_of(own, table, words[j]) if 0 <= j < n - 1 else 0 for j in (i - 2, i - 1, i)])
             return batch_of(schema, *np.array(found, np.int32).reshape(-1, 3).T) if found else None

@@ -82,6 +82,13 @@ def test_lm_learns_from_all_places(spark, monkeypatch):
     assert sum(x.score - x.base_score for x in scored) / sum(x.n_tokens for x in scored) > 0.03
 
 
+def test_sample_takes_copies_apart(spark):
+    """Of many copies of a text about the share of all places is drawn, not the same places of each."""
+    docs = spark.createDataFrame([(i, "a b c") for i in range(2000)], "doc_id long, text string")
+    classes = lm.Classes({}, 0, 2, np.zeros(0))
+    assert 600 < lm.sample_contexts(docs, classes, 0.1).count() < 1000  # 8000 places
+
+
 def test_languages_held_out(documents, odd, none):
     model = lang_id.fit(documents.filter(fold(4) != 2))
     found = lang_id.identify(documents, model).join(documents.select("doc_id", "lang"), "doc_id").filter(fold(4) == 2).collect()
