@@ -100,6 +100,23 @@ def sample_contexts(docs: DataFrame, classes: Classes, share: float) -> DataFram
     return map_arrow(docs.select("doc_id", "text"), make, "v int, u int, w int")
 
 
+def starting_contexts(docs: DataFrame, classes: Classes, total: int, most: int) -> np.ndarray:
+    """About `most` contexts (two back, one back, word) for the first weights, sorted, from `total` places of all texts.
+
+    Equal contexts are counted before they come to the driver: repeated rows of one id and text have the same places, so
+    that rows sent are about `most` however often a row repeats.  Of more than `most` places evenly spaced ones are
+    taken, so that a context keeps its share.
+    """
+    drawn = sample_contexts(docs, classes, min(1.0, most / max(1, total))).groupBy("v", "u", "w").agg(F.count("*").alias("n"))
+    v, u, w, n = (x.to_numpy() for x in drawn.toArrow().columns)
+    order = np.lexsort((v, u, w))
+    ends = np.cumsum(n[order])
+    places = int(ends[-1]) if len(ends) else 0
+    size = min(places, most)
+    at = np.searchsorted(ends, np.arange(size) * places // max(1, size), "right")
+    return np.stack([v, u, w], 1)[order[at]]
+
+
 def context_counts(docs: DataFrame, classes: Classes, parts: int) -> DataFrame:
     """(part, keys, times) of all places of all texts: packed contexts (v size + u) size + w, sorted, and how often each occurs.
 
@@ -294,8 +311,7 @@ def lm_scores(docs: DataFrame, train_on: DataFrame, *, frequent: int = 60_000, o
     for r in by_class.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         held_by[r["class"]], kinds[r["class"]] = r.n, r.v
     mass[1 + own :] = (held_by + ALPHA * (kinds + 1))[1 + own :]
-    contexts = sample_contexts(train_rows, classes, min(1.0, train_tokens / max(1, total))).toPandas().to_numpy()
-    contexts = contexts[np.lexsort(contexts.T)] if len(contexts) else contexts.reshape(0, 3)
+    contexts = starting_contexts(train_rows, classes, total, train_tokens)
     seen = np.ones(classes.size)
     seen[0] += ends
     seen[1 : 1 + own] += [r.n for r in head[:own]]

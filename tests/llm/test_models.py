@@ -89,6 +89,28 @@ def test_sample_takes_copies_apart(spark):
     assert 600 < lm.sample_contexts(docs, classes, 0.1).count() < 1000  # 8000 places
 
 
+def test_starting_contexts_of_repeated_rows(spark):
+    """Without repeats all drawn places are taken as they are; of very many equal rows about as many as wanted, in proportion."""
+    words = ["w%d" % i for i in range(6)]
+    classes = lm.Classes({w.encode(): i for i, w in enumerate(words)}, 6, 1, np.zeros(6))
+    r = random.Random(2)
+    single = spark.createDataFrame([(i, " ".join(r.choices(words, k=20))) for i in range(30)], "doc_id long, text string")
+    got = lm.starting_contexts(single, classes, 630, 10**6)
+    drawn = Counter(map(tuple, lm.sample_contexts(single, classes, 1.0).collect()))
+    assert len(got) == 630 and Counter(map(tuple, got.tolist())) == drawn
+    assert got.tolist() == sorted(got.tolist(), key=lambda x: x[::-1])
+
+    text = " ".join(r.choices(words, k=400))
+    same = spark.createDataFrame([(1, text)] * 500 + [(2, text)] * 250, "doc_id long, text string")
+    total = 750 * 401
+    times = Counter(map(tuple, lm.sample_contexts(same, classes, 4000 / total).collect()))
+    got = Counter(map(tuple, lm.starting_contexts(same, classes, total, 4000).tolist()))
+    places = sum(times.values())
+    assert places and sum(got.values()) == min(places, 4000) and set(got) <= set(times)
+    assert all(abs(got[x] - n * sum(got.values()) / places) <= 1 for x, n in times.items())
+    assert lm.starting_contexts(single.filter("false"), classes, 0, 100).shape == (0, 3)
+
+
 def test_languages_held_out(documents, odd, none):
     model = lang_id.fit(documents.filter(fold(4) != 2))
     found = lang_id.identify(documents, model).join(documents.select("doc_id", "lang"), "doc_id").filter(fold(4) == 2).collect()
