@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -39,3 +40,31 @@ def per_group(df: DataFrame, key: str, order: list[str], work: Callable[[object,
             yield rows(pd.concat(rest))
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def starts(keys: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The first row of each run of equal keys; null is a key of its own."""
+    null, value = (np.asarray(x) for x in (keys.is_null(), keys.fill_null(0)))
+    return np.r_[0, np.flatnonzero((value[1:] != value[:-1]) | (null[1:] != null[:-1])) + 1]
+
+
+def per_groups(df: DataFrame, key: str, order: list[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """work(rows of several whole groups, in order) -> rows.  The groups that a batch ends go together; one more is held open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cut = int(starts(batch[key])[-1])
+            closed = [*rest, batch.slice(0, cut)] if cut else rest
+            if not cut and rest and rest[-1][key][-1].equals(batch[key][0]):
+                rest.append(batch)
+                continue
+            if closed:
+                yield from work(pa.Table.from_batches(closed)).to_batches()
+            rest = [batch.slice(cut)]
+        if rest:
+            yield from work(pa.Table.from_batches(rest)).to_batches()
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

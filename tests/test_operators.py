@@ -2,14 +2,16 @@ import itertools
 import json
 import os
 import random
+import time
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.functions import alignment
-from loomspan.operators import analysis, layout, relational, retrieval
+from loomspan.functions import alignment, people
+from loomspan.operators import analysis, layout, relational, resolution, retrieval
 from loomspan.plans import catalogue
 from loomspan.sources import files, providers, tables
 from loomspan.streaming import tasks
@@ -116,6 +118,58 @@ def test_resolution_takes_mentions_in_order():
     assert analysis.standard_name(["ab", "cd", "cd", "x"]) == "cd"
 
 
+def plainly_resolved(mentions):
+    """Entities by resolve_task, from mentions (task, id, r, name, year, place) in order."""
+    out = []
+    for task, some in itertools.groupby(mentions, lambda m: m[0]):
+        some = [(n, r, y or None, p, i) for _, i, r, n, y, p in some]
+        at = analysis.resolve_task(some, lambda x, y: people.score_people(x[0], y[0], x[2], y[2], x[3], y[3]))
+        for k in range(max(at) + 1):
+            g = [m for m, e in zip(some, at, strict=True) if e == k]
+            out.append((task, k, analysis.standard_name([m[0] for m in g]), len(g), len({m[4] for m in g}), len({m[1] for m in g}) > 1))
+    return out
+
+
+def arrow_mentions(mentions):
+    kinds = {"user_id": pa.int64(), "id": pa.int64(), "r": pa.int32(), "name": pa.string(), "year": pa.int32(), "place": pa.string()}
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*mentions, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
+@pytest.mark.parametrize("letters", ["张張王李欧阳三四五劉刘", "ab", "Suplier#0123456789", "".join(map(chr, range(0x4E00, 0x4F00)))])
+def test_tasks_side_by_side_resolve_as_alone(letters):
+    r = random.Random(4)
+    name = lambda: "".join(r.choice(letters) for _ in range(r.choice((1, 2, 3, 4, 6, 15, 70))))
+    places = ("", "東村处", "西村", "东村地方", "西邨", "东村里巷", "地", "x" * 70, "x" * 69)
+    mentions = []
+    for task in (None, *range(12)):
+        names = [name() for _ in range(12)]
+        mentions += [(task, *m) for m in sorted((r.randint(1, 20), r.randint(0, 2), r.choice(names), r.choice((0, 3, 1800, 1802, 1850, 2**31 - 1)), r.choice(places)) for _ in range(r.randint(1, 40)))]
+    want = plainly_resolved(mentions)
+    for cells in (resolution.CELLS, 400, 1):  # all side by side; long ones alone; all alone
+        assert [tuple(x.values()) for x in resolution.resolved(arrow_mentions(mentions), "user_id", analysis.MERGE_AT, cells).to_pylist()] == want
+
+
+def test_resolution_of_groups_cut_by_batches(spark):
+    r = random.Random(6)
+    said = [(r.choice((None, 5, 2**53 + 1, 2**53 + 2)), i, role, f"Supplier#{r.randrange(60):03d}", r.choice((None, 1800, 1850)), r.choice((None, "东村"))) for i in range(80) for role in analysis.ROLES]
+    df = spark.createDataFrame(said, "user_id long, id long, role string, name string, year int, place string")
+    order = sorted(((t, i, analysis.ROLES.index(role), n, y or 0, p or "") for t, i, role, n, y, p in said), key=lambda m: (m[0] is not None, m[0] or 0, *m[1:]))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(repr, map(tuple, analysis.resolve(df, "user_id").collect()))) == sorted(map(repr, plainly_resolved(order)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_resolution_of_a_long_task_ends(spark):
+    said = [(1, i, "seller", f"Supplier#{i * 7919 % 10_007:09d}", 1700 + i % 200, f"东村{i % 50}") for i in range(2000)]
+    df = spark.createDataFrame(said, "user_id long, id long, role string, name string, year int, place string")
+    began = time.time()
+    assert sum(e.n_mentions for e in analysis.resolve(df, "user_id").collect()) == 2000
+    assert time.time() - began < 30  # two million pairs of different names
+
+
 def test_layout_parts():
     boxes = np.array([[0, 0, 10, 10], [1, 0, 11, 10], [100, 0, 110, 10], [0, 50, 10, 60]], float)
     assert layout.suppress(boxes, np.array([0.5, 0.9, 0.5, 0.5]), iou=0.8) == [1, 2, 3]
